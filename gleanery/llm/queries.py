@@ -4,18 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import sentencepiece_codec
+from gleanery.llm import quality_fm, sentencepiece_codec
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode_digest(C.table(spark, sf_dir, "documents"))
 
 
+#: Rows of this remainder are held out: their labels are never learnt from.
+FOLDS, HELD_FOLD = 5, 0
+#: Metadata that the classifier may read; id, language and source never.
+QUALITY_META = ("n_chars",)
+QUALITY_THRESHOLD = 0.3
+
+
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
+
+
+def quality_scores(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    model = quality_fm.train(all_docs, labels, "quality", ~_held_out(), meta_cols=QUALITY_META)
+    return quality_fm.score(docs, model, keep, meta_cols=QUALITY_META)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    scored = quality_scores(docs, docs, C.table(spark, sf_dir, "labels"), ("doc_id",))
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
