@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import quality_fm, sentencepiece_codec
+from gleanery.llm import ngram_join, quality_fm, sentencepiece_codec
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def quality_scores(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, keep
     return quality_fm.score(docs, model, keep, meta_cols=QUALITY_META)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(C.table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     scored = quality_scores(docs, docs, C.table(spark, sf_dir, "labels"), ("doc_id",))
@@ -39,6 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
 }
 
