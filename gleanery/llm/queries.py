@@ -8,7 +8,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import ngram_join, quality_fm, sentencepiece_codec
+from gleanery.llm import mixing, ngram_join, quality_fm, sentencepiece_codec, sharding
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(C.table(spark, sf_dir, "documents"))
+
+
+#: The same by sums: of source targets by caps in order of size to weight, and of a document's place in its source's shuffled stream.
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('11:' || doc_id), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight
+  FROM d GROUP BY source),
+c AS (
+  SELECT *, 3 * sum(source_size) OVER () AS whole,
+         (3 * sum(source_size) OVER () - 2 * coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
+         >= 4 * source_size * sum(weight) OVER (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS capped
+  FROM s),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN capped THEN CAST(2 * source_size AS DOUBLE)
+              ELSE CAST(whole - 2 * coalesce(sum(CASE WHEN capped THEN 2 * source_size END) OVER (), 0) AS DOUBLE) * weight / (2 * sum(CASE WHEN NOT capped THEN weight END) OVER ()) END AS target
+  FROM c),
+p AS (
+  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS take,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       CAST(least(size, greatest(take - place, 0)) + least(size, greatest(take - source_size - place, 0)) AS BIGINT) AS taken
+FROM p
+"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(C.table(spark, sf_dir, "documents"), n_shards=40)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +81,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
