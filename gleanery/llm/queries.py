@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import mixing, ngram_join, quality_fm, sentencepiece_codec, sharding
+from gleanery.llm import mixing, ngram_join, quality_fm, sentencepiece_codec, sharding, token_files
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write(C.table(spark, sf_dir, "documents"), model="word_bpe_49k.json", end_id=1)
+    return token_files.read(spark, path, digest=True)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +86,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
