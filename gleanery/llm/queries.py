@@ -8,7 +8,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import mixing, ngram_join, quality_fm, sentencepiece_codec, sharding, token_files
+from gleanery.llm import chat_format, mixing, ngram_join, quality_fm, sentencepiece_codec, sharding, token_files
+
+
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    log = rows.unionAll(probe).withColumn("seq", F.col("turn")).withColumn("event", F.lit("message"))
+    done = chat_format.format_chats(log, has_regenerations=False)
+    # what follows reads the output alone
+    read = done.select("conv_id", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.masked_text(F.col("blocks")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", F.sha2("formatted", 256).alias("formatted_sha256"))
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, '<turn ' || replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') || '>' || chr(10)
+            || replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') || '</turn>' || chr(10) AS done
+  FROM c),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         string_agg(done, '' ORDER BY turn NULLS FIRST, role, text) AS formatted
+  FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       length(formatted) AS formatted_chars, sha256(formatted) AS formatted_sha256
+FROM g
+"""
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +121,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op3_token_files": op3_token_files,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
@@ -94,4 +130,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_mixing": OP5_SQL}
