@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import chat_format, mixing, ngram_join, quality_fm, sentencepiece_codec, sharding, token_files
+from gleanery.llm import chat_format, licenses, mixing, ngram_join, quality_fm, sentencepiece_codec, sharding, token_files
 
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -110,6 +110,10 @@ def quality_scores(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, keep
     return quality_fm.score(docs, model, keep, meta_cols=QUALITY_META)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(C.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(C.table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality": op10_quality,
 }
