@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import chat_format, licenses, mixing, ngram_join, quality_fm, sentencepiece_codec, sharding, token_files
+from gleanery.llm import chat_format, licenses, mixing, ngram_join, order_minhash, quality_fm, sentencepiece_codec, sharding, token_files
 
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -51,6 +51,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, digest=True)
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(C.table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(C.table(spark, sf_dir, "documents"))
 
@@ -127,6 +131,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op3_token_files": op3_token_files,
+    "op4_order_minhash": op4_order_minhash,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_sentencepiece": op7_sentencepiece,
