@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm import chat_format, licenses, mixing, ngram_join, order_minhash, quality_fm, sentencepiece_codec, sharding, token_files
+from gleanery.llm import chat_format, hamming_topk, licenses, mixing, ngram_join, order_minhash, quality_fm, sentencepiece_codec, sharding, token_files
 
 
 PROBE = "\\### Assistant: </turn> ok"
@@ -46,6 +46,27 @@ FROM g
 """
 
 
+#: Every row whose id this divides is a query.
+QUERY_STEP = 100
+
+
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.top_k(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_STEP == 0, k=10, bits=64)
+
+
+OP2_SQL = """
+WITH c AS (
+  SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.code, c.code), lambda z: abs(z[1] - z[2]))) AS INT) AS distance
+  FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, distance
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) WHERE rank <= 10
+"""
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write(C.table(spark, sf_dir, "documents"), model="word_bpe_49k.json", end_id=1)
     return token_files.read(spark, path, digest=True)
@@ -130,6 +151,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_hamming_topk": op2_hamming_topk,
     "op3_token_files": op3_token_files,
     "op4_order_minhash": op4_order_minhash,
     "op5_mixing": op5_mixing,
@@ -140,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_hamming_topk": OP2_SQL, "op5_mixing": OP5_SQL}
