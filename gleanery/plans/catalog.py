@@ -1,23 +1,9 @@
-"""Every query of the library's own operators, with the SQL that says the same."""
+"""Every query of the library's own operators, with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gleanery.plans import rewards  # noqa: F401  registers its queries
+from gleanery.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("orders", "lineitem", "pages")
-    parts = [_table(spark, sf_dir, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in names]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
-
-
-FLAGSHIP = "store_stats"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"store_stats": store_stats}
-ORACLE_SQL: dict[str, str] = {"store_stats": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in ("orders", "lineitem", "pages"))}
+FLAGSHIP = "win01_agg18_joi13_rejected_advantage"
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
