@@ -10,18 +10,17 @@ size is.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+from gleanery.storage import materialize, shared_dir, sized  # noqa: F401  shared by the operators
+
+SLICE_BYTES = 2 << 20
 #: The six ASCII white-space bytes that the word contracts exclude.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -38,23 +37,6 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not told:
-        told = Path(tempfile.mkdtemp(prefix="gleanery-")).as_uri()
-        spark.sparkContext.setCheckpointDir(told)
-    return told.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanery/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -264,11 +246,3 @@ class WordCache:
         for w in new[len(new) - over :] if over > 0 else ():
             del self.index[w]
         return out
-
-
-def is_null_safe_true(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = T

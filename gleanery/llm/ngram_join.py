@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import common as C
-from gleanery.llm.components import components
+from gleanery.operators.components import components
 
 #: Documents and bytes of text in a block; a component beyond is split.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 24 << 20
@@ -306,17 +306,22 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     reps = C.materialize(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     classes = C.materialize(filled.select("doc_id", *key).join(reps, key).select("doc_id", "n_shingles", "rep"), "jaccard-sets")
 
-    sigs = profile.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
-    shared = C.materialize(sigs.groupBy("sig").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "jaccard-shared")
-    edges = sigs.join(shared, "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    # a signature stands once in a document, so a count tells whether two share it; copies share all of theirs
+    sigs = profile.select("doc_id", F.explode("sigs").alias("sig"))
+    shared = C.materialize(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "jaccard-shared")
+    held = C.materialize(sigs.join(C.sized(shared), "sig"), "jaccard-held")
+    least = C.materialize(held.groupBy("sig").agg(F.min("doc_id").alias("least")), "jaccard-least")
+    edges = held.join(least, "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     members = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    # of each set one document goes on
+    members = members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     # Blocks of bounded size; a component that fits is one block.
     weight = profile.select("doc_id", "n_bytes").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
     members = C.materialize(members.join(weight, "doc_id"), "jaccard-weights")
     sizes = members.groupBy("comp").agg(_pieces(F.sum("n_bytes")).alias("n_blocks"))
     members = C.materialize(members.join(sizes, "comp").select("doc_id", "comp", "n_blocks", F.col("doc_id").alias("class"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("n_blocks")).cast("int").alias("part")), "jaccard-members")
-    with_text = C.materialize(members.join(texts, "doc_id"), "jaccard-texts")
+    with_text = C.materialize(texts.join(C.sized(members), "doc_id").select(*members.columns, "text"), "jaccard-texts")
     found = C.materialize(_grouped(with_text.withColumn("block", F.xxhash64("comp", "part")).withColumn("probe", F.lit(True)), n, percent), "jaccard-local")
     members = C.materialize(_merged(members, found), "jaccard-classes")
 
