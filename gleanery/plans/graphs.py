@@ -147,3 +147,15 @@ def fnc03(spark, d):
     edges = table(spark, d, "lineitem").select("l_linestatus", "l_returnflag", F.when(F.col("l_linestatus") == "O", "text").otherwise("audio").alias("src"), F.lit("text").alias("dst"), kind.alias("kind"))
     met = edges.join(F.broadcast(allowed.withColumn("hit", F.lit(True))), ["src", "dst", "kind"], "left")  # a fixed table of 23 rows
     return met.groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("hit", F.col("kind") == "derived")).alias("allowed"))
+
+
+@query("txt09_txt12_scored_links")
+def txt09(spark, d):
+    """Pages' anchors as markdown links to articles, found, resolved and scored."""
+    from gleanery.functions import links as L
+
+    text = F.regexp_replace("html", G.LINK, "[$2](/wiki$1)")
+    pages = table(spark, d, "pages").select("page_id", text.alias("md"), F.lit("https://en.wikipedia.org/wiki/Home").alias("url"))
+    found = L.page_links(pages, "page_id", "md", "url").where("url is not null")
+    s = L.link_score(F.substring_index("url", "/wiki/", -1), F.col("anchor"), F.col("context"), F.col("rank"))
+    return found.select(F.col("id").alias("page_id"), "rank", "url", s["score"].alias("score"), F.array_join(s["reasons"], ",").alias("reasons"))
