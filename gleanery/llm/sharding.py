@@ -85,7 +85,7 @@ def shard(docs: DataFrame, n_shards: int = 40, n_partitions: int | None = None,
     parts = sorted(counts)
     sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
-    # the last rank (exclusive) of each partition for each shard; which shards get the longer count is drawn by the matrix's law alone
+    # the last rank (exclusive) of each partition for each shard; the first shards get the longer counts
     bounds = [[p, *np.cumsum(row).tolist()] for p, row in zip(parts, matrix, strict=True)]
     table = docs.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(bounds)), "array<array<long>>")).alias("b")).select(F.col("b")[0].alias("part"), F.slice("b", 2, n_shards).alias("bounds"))
 
