@@ -46,6 +46,8 @@ BLOCK = 128
 PERCENTILE = 98
 SEGMENT_TOKENS = 1 << 18
 MAGIC = b"GPF1"
+#: Words that a worker keeps the ids of: some 200 bytes each.
+CACHED_WORDS = 1_000_000
 LAYOUT = [("ids", np.int64, 0), ("known", np.uint8, 0), ("sizes", np.uint32, 0), ("least", np.uint32, 1), ("width", np.uint8, 1), ("n_exc", np.uint8, 1), ("words", np.uint64, 2), ("place", np.uint8, 3), ("extra", np.uint32, 3)]
 
 
@@ -169,13 +171,23 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.cache = C.WordCache(self._encode)
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special and not t[1].normalized]
+        #: A special token parts a text before anything else looks at it, so words joined by it are encoded each for itself.
+        self.cut_id, self.cut = (special[0][0], special[0][1].content) if special else (None, None)
+        self.marks = [t[1].content.encode() for t in special]
+        self.cache = C.WordCache(self._encode, CACHED_WORDS)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        return np.fromiter((i for x in got for i in x), np.int32, int(at[-1])), at
+        if self.cut is None or any(m in b" ".join(words) for m in self.marks):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            return np.fromiter((i for x in got for i in x), np.int32, int(at[-1])), at
+        joined = self.cut.join(w.decode() for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == self.cut_id)
+        ends = np.append(cuts, len(ids)) - np.arange(len(words))
+        return ids[ids != self.cut_id], np.concatenate([[0], ends]).astype(np.int64)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the sizes."""
