@@ -50,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.taken(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("n")).where("n > 0")
+    taken = mixing.taken(docs).where("taken > 0").select("doc_id", F.round(F.try_divide("taken", "size")).cast("int").alias("n")).where("n > 0")
     times = C.materialize(taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").alias("_times")), "pipeline-mix")
     out = docs.join(C.sized(times), F.col("doc_id").eqNullSafe(F.col("_id")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

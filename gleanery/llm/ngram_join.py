@@ -7,8 +7,10 @@
    most k = (1-t)/(1+t) * (a+b) shingles. If the shingle universe is dealt into
    p > k parts by hash, p-k parts at least are the same in both. A document
    emits a signature for each part that isn't empty (and for empty ones where it
-   has p-k of them), once for each size class that a partner may be in. Whoever
-   shares a signature is joined to the smallest document that has it; the
+   has p-k of them), once for each size class that a partner may be in. p is so
+   chosen that p-k is a fifth of the parts: a document that shares fewer has no
+   partner, which rules out those that share a passage alone. Whoever is left
+   and shares a signature is joined to the smallest document that has it; the
    components of these pairs hold every true link, each document is in one of
    them, and their texts are fetched once.
 3. *Signature trees.* The documents of a component, or of a block of it if it is
@@ -45,6 +47,8 @@ from pyspark.sql import functions as F
 from gleanery.llm import common as C
 from gleanery.operators.components import components
 
+#: A set has one part more for each SPARE of the differences allowed: partners then have that many more parts alike.
+SPARE = 4
 #: Documents and bytes of text in a block; a component beyond is split.
 BLOCK_DOCS, BLOCK_BYTES = 2048, 24 << 20
 #: Best-linked documents of a large component that meet all its blocks.
@@ -81,16 +85,16 @@ def size_classes(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.nd
     return [(own, edges[own + 1] - 1), (np.where(far > own, own + 1, -1), edges[own + 2] - 1)]
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of each set and the set's row; sets that link share one at least."""
+def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of each set, the set's row, and how many of the same ``slot`` (row * 2, + 1 in the next class) a partner must share."""
     size = np.diff(offsets)
-    out, rows_out = [], []
-    for cls, largest in size_classes(size, percent):
+    out, rows_out, needs = [], [], []
+    for slot, (cls, largest) in enumerate(size_classes(size, percent)):
         rows = np.flatnonzero((size > 0) & (cls >= 0))
         if not len(rows):
             continue
         k = (2 * largest[rows] * (100 - percent)) // (100 + percent)
-        parts = np.where(k > 0, k + 2, 1)
+        parts = np.where(k > 0, k + 2 + k // SPARE, 1)
         v, _ = C.gather(values, offsets, rows)
         r = np.repeat(np.arange(len(rows)), size[rows])
         mixed = C.mix(v)
@@ -107,19 +111,23 @@ def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
         filled[p[first]] = True
         owner = np.repeat(np.arange(len(rows)), parts)
         empties = parts - np.add.reduceat(filled.astype(np.int64), part_at[:-1])
-        emit = filled | (empties >= parts - k)[owner]
+        need = parts - k  # parts, empty ones included, that a partner has alike
+        emit = filled | (empties >= need)[owner]
+        # of the parts that both emit: who has few empty parts doesn't emit them
+        need = np.where(empties >= need, 1, need - empties)
         number = np.arange(part_at[-1]) - part_at[owner]
         key = C.mix(sums + C.mix((cls[rows][owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
         out.append(key[emit])
-        rows_out.append(rows[owner[emit]])
+        rows_out.append(rows[owner[emit]] * 2 + slot)
+        needs.append(need[owner[emit]])
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, rows = np.concatenate(out), np.concatenate(rows_out)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, rows, need = np.concatenate(out), np.concatenate(rows_out), np.concatenate(needs)
     order = np.argsort(rows, kind="stable")
-    return keys[order], rows[order]
+    return keys[order], rows[order], need[order]
 
 
-def _profile(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in C.slices(batch, "text"):
             values, at = shingle_sets(C.column(part, "text"), n)
@@ -128,10 +136,21 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterato
             for salt in (1, 2):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(C.mix(values + np.uint64(salt)), dtype=np.uint64)])
                 hashes.append(C.mix((total[at[1:]] - total[at[:-1]]) ^ size.astype(np.uint64)).view(np.int64))
-            keys, owner = signatures(values, at, percent)
-            lists = pa.ListArray.from_arrays(pa.array(C.row_counts(owner, len(size)), pa.int32()), pa.array(keys.view(np.int64)))
             _, offsets = C.flat(C.column(part, "text"))
-            yield pa.RecordBatch.from_arrays([C.column(part, "doc_id"), pa.array(size), pa.array(np.diff(offsets)), *map(pa.array, hashes), lists], ["doc_id", "n_shingles", "n_bytes", "h1", "h2", "sigs"])
+            yield pa.RecordBatch.from_arrays([C.column(part, "doc_id"), pa.array(size), pa.array(np.diff(offsets)), *map(pa.array, hashes)], ["doc_id", "n_shingles", "n_bytes", "h1", "h2"])
+
+
+def _signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, ids: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each signature; with ``ids`` the document, the slot and its need too."""
+    for batch in batches:
+        for part in C.slices(batch, "text"):
+            keys, slot, need = signatures(*shingle_sets(C.column(part, "text"), n), percent)
+            sig = pa.array(keys.view(np.int64))
+            if not ids:
+                yield pa.RecordBatch.from_arrays([sig], ["sig"])
+                continue
+            key = C.column(part, "doc_id").to_numpy()[slot // 2]
+            yield pa.RecordBatch.from_arrays([sig, pa.array(key), pa.array((slot % 2).astype(np.int32)), pa.array(need.astype(np.int32))], ["sig", "doc_id", "slot", "need"])
 
 
 # ------------------------------------------------------------------ signature trees
@@ -299,19 +318,23 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     """
     C.importable(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
-    profile = C.materialize(texts.mapInArrow(lambda it: _profile(it, n, percent), "doc_id long, n_shingles long, n_bytes long, h1 long, h2 long, sigs array<long>"), "jaccard-profile")
+    profile = C.materialize(texts.mapInArrow(lambda it: _profile(it, n), "doc_id long, n_shingles long, n_bytes long, h1 long, h2 long"), "jaccard-profile")
     filled = profile.where("n_shingles > 0")
     # equal sets: partial aggregation meets copies where they lie
     key = ["n_shingles", "h1", "h2"]
     reps = C.materialize(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "jaccard-reps")
     classes = C.materialize(filled.select("doc_id", *key).join(reps, key).select("doc_id", "n_shingles", "rep"), "jaccard-sets")
 
-    # a signature stands once in a document, so a count tells whether two share it; copies share all of theirs
-    sigs = profile.select("doc_id", F.explode("sigs").alias("sig"))
-    shared = C.materialize(sigs.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "jaccard-shared")
-    held = C.materialize(sigs.join(C.sized(shared), "sig"), "jaccard-held")
+    # Signatures are made twice rather than kept, and meet what is shared by a shuffle at every size. One stands once in a document, so a count tells whether two share it; copies share all of theirs.
+    bare = texts.mapInArrow(lambda it: _signed(it, n, percent, False), "sig long")
+    shared = C.materialize(bare.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "jaccard-shared")
+    signed = texts.mapInArrow(lambda it: _signed(it, n, percent, True), "sig long, doc_id long, slot int, need int")
+    held = C.materialize(signed.join(shared.hint("merge"), "sig"), "jaccard-held")
+    # who shares fewer than a partner must have alike has no partner
+    live = C.materialize(held.groupBy("doc_id", "slot").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("doc_id", "slot"), "jaccard-live")
+    held = C.materialize(held.select("sig", "doc_id", "slot").join(live.hint("merge"), ["doc_id", "slot"]).select("sig", "doc_id"), "jaccard-held")
     least = C.materialize(held.groupBy("sig").agg(F.min("doc_id").alias("least")), "jaccard-least")
-    edges = held.join(least, "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    edges = held.join(least.hint("merge"), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     members = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
     # of each set one document goes on
     members = members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
