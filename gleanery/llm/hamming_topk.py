@@ -128,7 +128,8 @@ def _probe(state: DataFrame, index: DataFrame, parts: list[tuple[int, int]], rad
             continue
         own = _segment(F.col("query"), start, width)
         if math.comb(width, radius) <= MOST_PROBES:
-            masks = F.array(*(F.lit(x).cast("long") for x in _masks(width, radius)))
+            # one literal: a tree of as many literals would weigh on the driver
+            masks = F.split(F.lit(",".join(map(str, _masks(width, radius)))), ",").cast("array<bigint>")
             probes = state.select("query", F.lit(seg).alias("seg"), F.explode(_flipped(own, masks)).alias("value"))
         else:
             # more values than a list should hold: the distinct values that the segment has are compared instead
@@ -136,7 +137,8 @@ def _probe(state: DataFrame, index: DataFrame, parts: list[tuple[int, int]], rad
             probes = state.select("query", own.alias("own")).join(values, F.bit_count(F.col("own").bitwiseXOR(F.col("value"))) == radius).select("query", F.lit(seg).alias("seg"), "value")
         met = probes if met is None else met.unionAll(probes)
     # a code found by several segments is verified once
-    codes = met.join(index.select("seg", "value", "code", "ids"), ["seg", "value"]).select("query", "code", "ids").distinct()
+    # probes repeat their query, so their compressed size says little: no broadcast
+    codes = met.join(index.select("seg", "value", "code", "ids").hint("merge"), ["seg", "value"]).select("query", "code", "ids").distinct()
     seen = codes.select("query", F.explode(F.transform("ids", lambda i: F.struct(distance(F.col("query"), F.col("code")).cast("int").alias("d"), i.alias("id")))).alias("x"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("x"))
     best = seen.withColumn("r", rank).where(F.col("r") <= keep).groupBy("query").agg(F.collect_list("x").alias("new"))
