@@ -1,8 +1,10 @@
 """Document fingerprints by Order MinHash, sensitive to edit distance.
 
-A text becomes a sequence of units (runs without white space; long runs are cut
-every ``UNIT_BYTES`` bytes), and its k-mers are the runs of ``k`` units. Each
-k-mer is numbered by its occurrence in the text, so that repeats count. For each
+A text becomes a sequence of units, and its k-mers are the runs of ``k`` units. A
+run without white space is a unit; one of more than ``UNIT_BYTES`` bytes gives
+overlapping units instead, ``UNIT_BYTES`` bytes from each of its characters on,
+until one reaches its end. So an edit changes the units that it touches alone,
+with or without white space around them. Each k-mer is numbered by its occurrence in the text, so that repeats count. For each
 of ``m`` hash functions, the ``l`` occurrence-numbered k-mers of least hash are
 selected, put back into the order of the text, and the tuple is hashed: one
 sketch. Equal sketches in two fingerprints mean that the same k-mers were
@@ -42,19 +44,27 @@ EMPTY = 0x6F6D6831
 _RNG = np.random.Generator(np.random.PCG64(4242))
 _MULTIPLIERS = _RNG.integers(1 << 62, 1 << 63, 256, np.uint64) | np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, 256, np.uint64)
-#: Places in a text take the low bits of a key, hash values the others.
+#: Places in a text take the low bits of a key, hash values the others. In texts
+#: of more k-mers the low bits are empty, and the first of equal keys is the least.
 PLACE_BITS = 24
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the units of each text and their offsets."""
     starts, ends, rows = C.spans(data, offsets)
-    pieces = np.maximum(1, -(-(ends - starts) // UNIT_BYTES))
-    if len(pieces) and pieces.max() > 1:
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + nth * UNIT_BYTES
-        ends = np.minimum(starts + UNIT_BYTES, np.repeat(ends, pieces))
-        rows = np.repeat(rows, pieces)
+    long = ends - starts > UNIT_BYTES
+    if long.any():
+        places = np.where(long, ends - starts, 1)
+        at = np.arange(places.sum()) + np.repeat(starts - np.cumsum(places) + places, places)
+        head = (data[at] & 0xC0) != 0x80
+        first = np.zeros(len(at), bool)
+        first[np.cumsum(places) - places] = True
+        head |= first
+        at, first = at[head], first[head]
+        ends, rows = np.repeat(ends, places)[head], np.repeat(rows, places)[head]
+        # a unit is made where the one before has not reached the end of the run
+        first[1:] |= at[:-1] + UNIT_BYTES < ends[1:]
+        starts, ends, rows = at[first], np.minimum(at + UNIT_BYTES, ends)[first], rows[first]
     return C.span_hashes(data, starts, ends), C.row_counts(rows, len(offsets) - 1)
 
 
@@ -80,12 +90,13 @@ def sketches(data: np.ndarray, offsets: np.ndarray, m: int = M, l: int = L, k: i
     full = np.flatnonzero(size)
     if not len(full):
         return out
-    if size.max() >= 1 << PLACE_BITS:
-        raise ValueError("a text has more units than places can tell apart")
     x = numbered(kmers, at)
     start = at[:-1][full]
     place = (np.arange(len(x)) - np.repeat(start, size[full])).astype(np.uint64)
     low = np.uint64((1 << PLACE_BITS) - 1)
+    huge = np.flatnonzero(size[full] >= 1 << PLACE_BITS)
+    for h in huge:
+        place[start[h] : start[h] + size[full[h]]] = 0
     most = np.uint64(0xFFFFFFFFFFFFFFFF)
     for j in range(m):
         key = x * _MULTIPLIERS[j] + _SHIFTS[j]
@@ -97,8 +108,11 @@ def sketches(data: np.ndarray, offsets: np.ndarray, m: int = M, l: int = L, k: i
         for i in range(l):
             least = np.minimum.reduceat(key, start)
             has = least != most
-            chosen[i, has] = least[has] & low
-            key[start[has] + (least[has] & low).astype(np.int64)] = most
+            spot = least & low
+            for h in huge:
+                spot[h] = np.argmin(key[start[h] : start[h] + size[full[h]]])
+            chosen[i, has] = spot[has]
+            key[start[has] + spot[has].astype(np.int64)] = most
         chosen.sort(0)  # back into the order of the text
         mixed = np.full(len(full), 0x9E3779B97F4A7C15, np.uint64)
         for i in range(l):

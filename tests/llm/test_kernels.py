@@ -128,6 +128,46 @@ def test_sketches():
     assert order_minhash.likeness(t[:1], t[1:2])[0] > 0.9 and order_minhash.likeness(t[:1], t[2:])[0] < 0.1
 
 
+def test_units_cover_long_runs():
+    texts = ["one " + "x" * 16 + " y" * 3, "abcdefghijklmnopq", "é" * 9 + "ab", "日本語テキスト文a 短い", "", "𝒳" * 40]
+    got = []
+    for t in texts:
+        want = []
+        for w in t.split():
+            raw, at = w.encode(), [len(w[:i].encode()) for i in range(len(w))]
+            for i, a in enumerate(at):
+                if i and (len(raw) <= 16 or at[i - 1] + 16 >= len(raw)):
+                    break
+                want.append(raw[a : a + 16] if len(raw) > 16 else raw)
+        got.append(want)
+    data, offsets = order_minhash._bytes_of(texts)
+    hashes, at = order_minhash.units(data, offsets)
+    spans = [u for want in got for u in want]
+    flat = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(u) for u in spans])
+    assert np.diff(at).tolist() == [len(want) for want in got]
+    assert (hashes == C.span_hashes(flat, ends - [len(u) for u in spans], ends)).all()
+
+
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x5200))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdef\u00a0"])
+def test_one_edit_in_text_without_spaces(letters):
+    r = random.Random(5)
+    text = "".join(r.choice(letters) for _ in range(2000))
+    texts = [text, letters[0] + text, text[1:], text[:1000] + letters[1] + text[1000:], text[1000:] + text[:1000]]
+    s = order_minhash.sketches(*order_minhash._bytes_of(texts))
+    for i in (1, 2, 3):
+        assert order_minhash.likeness(s[:1], s[i : i + 1])[0] > 0.9
+    assert order_minhash.likeness(s[:1], s[4:])[0] < 0.9
+
+
+def test_sketches_of_texts_beyond_place_bits(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 5, 300, 40)]
+    want = order_minhash.sketches(*order_minhash._bytes_of(texts))
+    monkeypatch.setattr(order_minhash, "PLACE_BITS", 5)
+    assert (order_minhash.sketches(*order_minhash._bytes_of(texts)) == want).all()
+
+
 def test_license_words_and_expressions():
     rng = random.Random(4)
     bits = ["cc", "BY", "general", "Public", "license", "all", "rights", "reserved", "é", "x9", "nc"]
