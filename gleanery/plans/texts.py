@@ -144,8 +144,20 @@ def txt28(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("p"), F.left(F.lead("text").over(w), F.lit(60)).alias("g")).where("g is not null")
-    return pairs.select("conv_id", "turn", T.exact_match(F.col("p"), F.col("g")).alias("em"), F.round(T.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
+    return _scores(table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("p"), F.left(F.lead("text").over(w), F.lit(60)).alias("g")))
+
+
+@query("txt28_answer_f1_whole")
+def txt28_whole(spark, d):
+    """As txt28_answer_f1, over whole texts."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return _scores(table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("p"), F.lead("text").over(w).alias("g")))
+
+
+def _scores(pairs):
+    return pairs.where("g is not null").select("conv_id", "turn", T.exact_match(F.col("p"), F.col("g")).alias("em"), F.round(T.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @query("txt35_txt37_fnc01_keys", "SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, sha256(text) AS cache_key, 'text_' || substr(sha256(source || '||' || '' || '||' || doc_id), 1, 16) AS node_id FROM documents")
