@@ -164,8 +164,18 @@ def prj10(spark, d):
 
 @query("prj19_numbered_rows", "SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id, lang, 'image_' || doc_id || ': 1 ' || chr(10) || ' Question: ' || left(text, 50) AS question FROM documents")
 def prj19(spark, d):
+    return _numbered(spark, d, F.left("text", F.lit(50)))
+
+
+@query("prj19_numbered_rows_whole")
+def prj19_whole(spark, d):
+    """As prj19_numbered_rows, over whole texts."""
+    return _numbered(spark, d, F.col("text"))
+
+
+def _numbered(spark, d, text):
     w = Window.partitionBy("lang").orderBy("doc_id")
-    return table(spark, d, "documents").select((F.row_number().over(w) - 1).cast("long").alias("id"), "lang", F.concat(F.lit("image_"), F.col("doc_id").cast("string"), F.lit(": 1 \n Question: "), F.left("text", F.lit(50))).alias("question"))
+    return table(spark, d, "documents").select((F.row_number().over(w) - 1).cast("long").alias("id"), "lang", F.concat(F.lit("image_"), F.col("doc_id").cast("string"), F.lit(": 1 \n Question: "), text).alias("question"))
 
 
 @query("prj24_date_range", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")

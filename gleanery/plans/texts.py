@@ -97,8 +97,8 @@ def txt23(spark, d):
 _TURN_SQL = "'<think>' || left(text, 20) || '</think>' || CASE turn % 4 WHEN 0 THEN '<tool_call>' || left(text, 40) || '</tool_call>' WHEN 1 THEN '<answer> ' || left(text, 30) || '</answer>' WHEN 2 THEN '<response>' || left(text, 30) || '</response> ' ELSE text END"
 
 
-def _turns(spark, d):
-    head = lambda n: F.left("text", F.lit(n))
+def _turns(spark, d, whole=False):
+    head = lambda n: F.col("text") if whole else F.left("text", F.lit(n))
     k = F.col("turn") % 4
     tail = F.when(k == 0, F.concat(F.lit("<tool_call>"), head(40), F.lit("</tool_call>"))).when(k == 1, F.concat(F.lit("<answer> "), head(30), F.lit("</answer>"))).when(k == 2, F.concat(F.lit("<response>"), head(30), F.lit("</response> "))).otherwise(F.col("text"))
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("<think>"), head(20), F.lit("</think>"), tail).alias("t"))
@@ -114,8 +114,18 @@ SELECT conv_id, turn, CASE WHEN {_between('tool_call')} IS NOT NULL THEN 'tool_c
        CASE WHEN regexp_matches(t, '(?s)^<think>.*?</think>\\s*(<tool_call>.*?</tool_call>|<response>.*?</response>|<answer>.*?</answer>)\\s*$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_reward
 FROM (SELECT conv_id, turn, {_TURN_SQL} AS t FROM conversations)""")
 def txt25(spark, d):
+    return _actions(_turns(spark, d))
+
+
+@query("txt25_win19_actions_whole")
+def txt25_whole(spark, d):
+    """As txt25_win19_actions, over whole texts."""
+    return _actions(_turns(spark, d, whole=True))
+
+
+def _actions(turns):
     a = T.action(F.col("t"))
-    return _turns(spark, d).select("conv_id", "turn", a["kind"].alias("kind"), a["content"].alias("content"), T.valid_format(F.col("t")).cast("double").alias("format_reward"))
+    return turns.select("conv_id", "turn", a["kind"].alias("kind"), a["content"].alias("content"), T.valid_format(F.col("t")).cast("double").alias("format_reward"))
 
 
 @query("txt26_final_answer", f"""
@@ -125,6 +135,12 @@ def txt26(spark, d):
     return _turns(spark, d).select("conv_id", "turn", T.final_answer(F.col("t")).alias("answer"))
 
 
+@query("txt26_final_answer_whole")
+def txt26_whole(spark, d):
+    """As txt26_final_answer, over whole texts."""
+    return _turns(spark, d, whole=True).select("conv_id", "turn", T.final_answer(F.col("t")).alias("answer"))
+
+
 @query("txt27_judge_verdict", "SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS acc FROM events")
 def txt27(spark, d):
     raw = F.when(F.col("event_type").isin("click", "purchase"), F.concat(F.lit("reasoning: x\nCorrect: YES "), "props")).when(F.col("event_type") == "view", "correct: no, not yes").otherwise("none")
@@ -188,6 +204,13 @@ def evl05(spark, d):
     return table(spark, d, "pages").select("page_id", F.round(T.anls(a, F.array(b, c)), 6).alias("anls"))
 
 
+@query("evl05_edit_similarity_whole")
+def evl05_whole(spark, d):
+    """A page's whole address against its address without digits and its whole title."""
+    golds = F.array(F.regexp_replace("url", "[0-9]", ""), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    return table(spark, d, "pages").select("page_id", F.round(T.anls(F.col("url"), golds), 6).alias("anls"))
+
+
 #: Texts that pages show in place of an article, and names that aren't articles.
 MISSING = ("page not found", "does not have an article with this exact name", "没有找到")
 NAMESPACES = ("special:", "talk:", "user:", "file:", "help:", "category:", "template:", "portal:")
