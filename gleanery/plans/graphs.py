@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.text import stable_id
 from gleanery.operators import graph as G
+from gleanery.operators.datasets import with_position
 from gleanery.plans.registry import query, table
+from gleanery.storage import materialize
 
 LINKS_SQL = f"""
 SELECT page_id, r AS rank, hrefs[r] AS href, anchors[r] AS anchor FROM (
@@ -37,11 +39,21 @@ l AS ({LINKS_SQL}), t AS (SELECT href, min(page_id) * 2048 + min(rank) * 2 + 1 A
 e AS (SELECT DISTINCT l.page_id * 2048 AS src, t.dst FROM l JOIN t USING (href)),
 n AS (SELECT page_id * 2048 AS node FROM pages UNION SELECT dst FROM t)
 """
+#: Links of a page that have such numbers; the SQL has no others, and numbers paths of later links as those of the next page.
+RANKS = 1024
 
 
 def _graph(spark, d) -> tuple[DataFrame, DataFrame]:
     links = _links(spark, d)
-    first = links.groupBy("href").agg(F.min(F.struct("page_id", "rank")).alias("f")).select("href", (F.col("f")["page_id"] * 2048 + F.col("f")["rank"] * 2 + 1).alias("dst"))
+    first = materialize(links.groupBy("href").agg(F.min(F.struct("page_id", "rank")).alias("f")).select("href", "f.page_id", "f.rank"), "graph-paths")
+    wide = first.where(F.col("rank") > RANKS)
+    number = F.col("page_id") * 2048 + F.col("rank") * 2 + 1
+    if wide.isEmpty():
+        first = first.select("href", number.alias("dst"))
+    else:  # even numbers between those of pages, as many as it takes
+        pos = F.col("pos")
+        beyond = materialize(with_position(wide, ["rank", "page_id", "href"]).select("href", (F.floor(pos / (RANKS - 1)) * 2048 + (pos % (RANKS - 1) + 1) * 2).alias("dst")), "graph-paths")
+        first = first.where(F.col("rank") <= RANKS).select("href", number.alias("dst")).unionAll(beyond)
     edges = links.join(first, "href").select((F.col("page_id") * 2048).alias("src"), "dst").distinct()
     nodes = table(spark, d, "pages").select((F.col("page_id") * 2048).alias("node")).union(first.select("dst")).distinct()
     return nodes, edges
