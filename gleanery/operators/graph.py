@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from gleanery.functions.text import entity_label
 from gleanery.operators.components import components
 from gleanery.storage import materialize
 
+#: Levels that are written into one table.
+LEVELS_A_TABLE = 64
 LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
 
 
@@ -49,22 +53,28 @@ def connected(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str =
     return nodes.select(node).join(top.select(F.col("node").alias(node), "component"), node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
-def levels(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
     """node and level (undirected hops from the nearest root), by a frontier a round.
 
-    Only the frontier meets the edges; what was reached is cut out by an
-    anti-join. Rounds end with an empty frontier or at ``most``.
+    Only the frontier meets the edges. Neighbours of a level lie in it, in the
+    one before or in the next, so an anti-join with these two cuts out what was
+    reached. Rounds end with an empty frontier; a node beyond ``most`` is an error.
     """
     both = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("to")).unionAll(edges.select(F.col(dst).alias("node"), F.col(src).alias("to"))).distinct(), "levels-edges")
-    seen = materialize(roots.select("node", F.lit(0).alias("level")).distinct(), "levels-seen")
-    front, level = seen, 0
-    while level < most:
+    front = behind = materialize(roots.select("node", F.lit(0).alias("level")).distinct(), "levels-seen")
+    done, fronts, level = [], [front], 0
+    while True:
         level += 1
-        front = materialize(front.join(both, "node").select(F.col("to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level")), "levels-front")
-        if front.isEmpty():
-            break
-        seen = seen.unionAll(front)
-    return seen
+        near = front.select("node").unionAll(behind.select("node"))
+        ahead = materialize(front.join(both, "node").select(F.col("to").alias("node")).distinct().join(near, "node", "left_anti").select("node", F.lit(level).alias("level")), "levels-front")
+        if ahead.isEmpty():
+            return reduce(DataFrame.unionAll, [*done, *fronts])
+        if most is not None and level > most:
+            raise RuntimeError(f"nodes lie more than {most} hops from the nearest root")
+        behind, front = front, ahead
+        fronts.append(ahead)
+        if len(fronts) >= LEVELS_A_TABLE:  # so that the plan of a long chain stays small
+            done, fronts = [*done, materialize(reduce(DataFrame.unionAll, fronts), "levels-seen")], []
 
 
 def component_roots(members: DataFrame) -> DataFrame:
