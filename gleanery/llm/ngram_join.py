@@ -330,8 +330,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     shared = C.materialize(bare.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "jaccard-shared")
     signed = texts.mapInArrow(lambda it: _signed(it, n, percent, True), "sig long, doc_id long, slot int, need int")
     held = C.materialize(signed.join(shared.hint("merge"), "sig"), "jaccard-held")
-    # who shares fewer than a partner must have alike has no partner
-    live = C.materialize(held.groupBy("doc_id", "slot").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("doc_id", "slot"), "jaccard-live")
+    # who shares fewer than a partner must have alike has no partner; an id on several texts counts for the least demanding one
+    live = C.materialize(held.groupBy("doc_id", "slot").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id", "slot"), "jaccard-live")
     held = C.materialize(held.select("sig", "doc_id", "slot").join(live.hint("merge"), ["doc_id", "slot"]).select("sig", "doc_id"), "jaccard-held")
     least = C.materialize(held.groupBy("sig").agg(F.min("doc_id").alias("least")), "jaccard-least")
     edges = held.join(least.hint("merge"), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
