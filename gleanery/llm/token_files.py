@@ -11,8 +11,9 @@ their own, and hold 0 in the packed part. A segment is one byte string:
     packed words u64 each, in block order
     exceptions: place u8 each, difference u32 each
 
-Where a block or document starts follows from these lists by prefix sums, so
-any document can be read without the others being unpacked. Segments lie in a
+No starts are stored: where a block or document starts follows from these lists
+by prefix sums (:func:`picked`), so ``read(..., only=ids)`` unpacks the blocks of
+these documents alone. Segments lie in a
 Parquet table (part, seq, start, n_docs, n_tokens, segment): part is a range of
 ids and seq a segment's number in it, start the ids before it in its part; a
 table gets written by Spark's own committer, to any store that Spark reaches.
@@ -144,6 +145,16 @@ def unpack(lists: dict[str, np.ndarray], sizes: np.ndarray) -> np.ndarray:
     return grid[col, row]
 
 
+def picked(lists: dict[str, np.ndarray], docs: np.ndarray) -> dict[str, np.ndarray]:
+    """The block lists of some documents of a segment, by the places of these; nothing is unpacked."""
+    sizes = lists["sizes"].astype(np.int64)
+    sums = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int64)
+    blocks = sums((sizes + BLOCK - 1) // BLOCK)
+    words = sums(_word_counts(block_counts(sizes), lists["width"].astype(np.int64)))[blocks]
+    at = {0: np.arange(len(sizes) + 1), 1: blocks, 2: words, 3: sums(lists["n_exc"].astype(np.int64))[blocks]}
+    return {name: C.gather(lists[name], at[k], docs)[0] for name, _, k in LAYOUT}
+
+
 def to_segment(lists: dict[str, np.ndarray]) -> bytes:
     heads = np.array([len(lists["ids"]), len(lists["least"]), len(lists["words"]), len(lists["place"])], np.uint64)
     return b"".join([MAGIC, heads.tobytes(), *(np.ascontiguousarray(lists[name], kind).tobytes() for name, kind, _ in LAYOUT)])
@@ -288,14 +299,19 @@ def write(docs: DataFrame, path: str | None = None, model: str = "word_bpe_49k.j
 # ------------------------------------------------------------------ reading
 
 
-def _read(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], digest: bool, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             lists = from_segment(C.column(batch, "segment")[i].as_py())
             sizes = lists["sizes"].astype(np.int64)
+            begin = C.column(batch, "start")[i].as_py() + C.column(batch, "base")[i].as_py() + np.cumsum(sizes) - sizes
+            if only is not None:
+                docs = np.flatnonzero(np.isin(lists["ids"], only) & (lists["known"] == 1))
+                if not len(docs):
+                    continue
+                lists, sizes, begin = picked(lists, docs), sizes[docs], begin[docs]
             ids = unpack(lists, sizes)
             at = np.concatenate([[0], np.cumsum(sizes)])
-            begin = C.column(batch, "start")[i].as_py() + C.column(batch, "base")[i].as_py() + at[:-1]
             key = pa.array(lists["ids"], mask=lists["known"] == 0)
             if digest:
                 raw = memoryview(ids.astype("<u4").tobytes())
@@ -305,8 +321,9 @@ def _read(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([key, pa.array(begin, pa.int64()), pa.array(sizes), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
 
-def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens and ids (or their crc32) of each document of a segment table."""
+def read(spark: SparkSession, path: str, digest: bool = False, only: list[int] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids (or their crc32) of each document of a segment table, or of those whose ids are in ``only``."""
+    wanted = None if only is None else np.array(only, np.int64)
     table = spark.read.parquet(path)
     totals = sorted(table.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # one row per part
     bases, total = {}, 0
@@ -314,4 +331,4 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
         bases[part], total = total, total + n
     base = F.element_at(F.create_map(*(F.lit(x) for k, v in bases.items() for x in (k, v))), F.col("part")).cast("long") if bases else F.lit(0).cast("long")
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
-    return table.select("start", base.alias("base"), "segment").mapInArrow(lambda it: _read(it, digest), schema)
+    return table.select("start", base.alias("base"), "segment").mapInArrow(lambda it: _read(it, digest, wanted), schema)
