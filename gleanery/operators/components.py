@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.storage import materialize
+from gleanery.storage import materialize, release
 
 
 def _written(least: DataFrame) -> DataFrame:
@@ -20,14 +20,16 @@ def _written(least: DataFrame) -> DataFrame:
     return materialize(least, "components-least")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges`` has u > v. Large star: neighbours above u go to u's least; small star: those below, and u itself."""
+def _star(edges: DataFrame, large: bool, scratch: list[DataFrame]) -> DataFrame:
+    """``edges`` has u > v. Large star: neighbours above u go to u's least; small star: those below, and u itself. ``scratch`` gets the table that the result is read from."""
     if large:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        scratch.append(least)
         out = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = _written(edges.groupBy("u").agg(F.min("v").alias("m")))
+        scratch.append(least)
         out = edges.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
@@ -40,7 +42,10 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        edges = materialize(_star(materialize(_star(edges, True), "components-large"), False), "components")
+        scratch: list[DataFrame] = [edges]
+        large = materialize(_star(edges, True, scratch), "components-large")
+        edges = materialize(_star(large, False, scratch), "components")
+        release(large, *scratch)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

@@ -1,4 +1,4 @@
-"""Tables that jobs share: where they lie, and how they cut lineage."""
+"""Tables that jobs share: where they lie, how they cut lineage, and when they go."""
 
 from __future__ import annotations
 
@@ -9,14 +9,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of narrow rows (a few longs each) is broadcast: some 100 MB of hash table.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a side of narrow rows (a few longs each) is broadcast: some 10 MB of hash table.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder of ``spark.checkpoint.dir``; with none set, a temporary one on a single machine, and an error on a cluster."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         told = Path(tempfile.mkdtemp(prefix="gleanery-")).as_uri()
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
@@ -26,7 +29,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/gleanery/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again: all that was made of them is written too."""
+    for table in tables:
+        path = table.__dict__.pop("_stored_at", None)
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def sized(df: DataFrame) -> DataFrame:
