@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.storage import materialize, shared_dir, sized  # noqa: F401  shared by the operators
+from gleanery.storage import materialize, release, shared_dir, sized  # noqa: F401  shared by the operators
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 #: The six ASCII white-space bytes that the word contracts exclude.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    held = {c.lower() for c in df.columns}
+    return [next(x for x in (name + "_" * k for k in range(len(held) + 1)) if x.lower() not in held) for name in names]
+
+
 # ---------------------------------------------------------------- native prefix sums
 
 
@@ -150,7 +156,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[k]) < n:
-        size = max(n, SLICE_BYTES + 2)
+        size = 1 << max(16, (n - 1).bit_length())
         for held, base in ((_POWERS, _P[k]), (_INVERSE, np.uint64(pow(int(_P[k]), -1, 1 << 64)))):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -195,12 +201,13 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray
 
 def unique_in_rows(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct values, ascending, and their offsets."""
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, rows))
-    v, r = values[order], rows[order]
+    v, at = values.copy(), offsets.tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):  # a loop over texts; sorting all rows at once takes longer
+        v[a:b].sort()
     keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    return v[keep], row_counts(r[keep], len(offsets) - 1)
+    keep[1:] = v[1:] != v[:-1]
+    keep[offsets[:-1][offsets[:-1] < len(v)]] = True
+    return v[keep], np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int64)
 
 
 def gather(data: np.ndarray, offsets: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

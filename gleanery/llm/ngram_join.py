@@ -1,18 +1,20 @@
 """N-gram Jaccard join: groups of documents linked by shingle sets of high Jaccard likeness, exactly.
 
-1. *Sets.* Each text becomes the set of its distinct n-word shingles. Texts of
-   equal sets form one class, for which the smallest id stands; the rest works
-   on one document of each class.
-2. *Candidates.* Two sets of sizes a <= b with Jaccard t or more differ in at
-   most k = (1-t)/(1+t) * (a+b) shingles. If the shingle universe is dealt into
-   p > k parts by hash, p-k parts at least are the same in both. A document
-   emits a signature for each part that isn't empty (and for empty ones where it
-   has p-k of them), once for each size class that a partner may be in. p is so
-   chosen that p-k is a fifth of the parts: a document that shares fewer has no
-   partner, which rules out those that share a passage alone. Whoever is left
-   and shares a signature is joined to the smallest document that has it; the
-   components of these pairs hold every true link, each document is in one of
-   them, and their texts are fetched once.
+1. *Sets.* Each text becomes the set of its distinct n-word shingles, as hashes
+   in ascending order. Texts of equal sets form one class, for which the smallest
+   id stands; the rest works on one document of each class.
+2. *Candidates.* Linked sets of sizes a and b share t * max(a, b) shingles at
+   least. A set emits its prefix: its e least hashes, e being the number of
+   shingles that it may lack (a less t * a, rounded up), and e + 1 more. Of two
+   linked sets the prefixes then share as many as the smaller one's extra part
+   has: the l-th least common hash has t * a - l others behind it. Hashes that
+   several documents emit are counted; who holds fewer of them than a partner
+   must share (some two fifths of the prefix) has no partner, which rules out
+   documents that have a passage or frequent phrases in common. Of the c that
+   it holds, a document of need r keeps the c - r + 1 rarest: by the same
+   argument, in the order of frequency, linked documents still share one. Each
+   document is joined to the smallest one for every hash it kept; the components
+   of these pairs hold every true link, and their texts are fetched once.
 3. *Signature trees.* The documents of a component, or of a block of it if it is
    large, form a tree over their sizes and tokens: leaves hold the bitmap of a
    document's shingles over the block's own dictionary, inner nodes the OR of
@@ -20,19 +22,20 @@
    nodes when the overlap of their bitmaps can't reach the threshold for any
    sizes in their ranges; at the leaves the overlap is the exact one. Pairs
    that are already connected are not looked at.
-4. *Large components.* Blocks are of bounded size. First each block is joined in
-   itself; then the best-linked documents of all blocks are joined with each
-   block; then documents outside the largest class found so far are joined with
-   each block. Pairs inside one class need no look, so a group of near copies
-   costs little more than a pass over it, and every pair in different classes
-   has met in some block.
+4. *Large components.* Blocks are of bounded size, and documents of one least
+   kept hash (near copies, mostly) lie in the same block. First each block is
+   joined in itself; then the best-linked documents, and then those outside the
+   largest class found so far, go to other blocks of their component: only to
+   those where a document of another class kept a hash that they kept. Pairs
+   inside one class need no look, so a group of near copies costs little more
+   than a pass over it.
 
 Defined results: a null text or one without words has the empty set, no links
 and itself as component; a text with fewer words than n has its whole sequence
-as one shingle; repeated rows and equal sets share a component; a null id is
-dropped (it can't name a component); ids that stand on several rows stand for
-the union of their rows' links; an empty table gives no rows. Other columns are
-ignored, whatever their names.
+as one shingle; repeated rows and equal sets share a component; a null id names
+no document, so its rows carry no links and have a null component; ids that
+stand on several rows stand for the union of their rows' links; an empty table
+gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,13 +50,15 @@ from pyspark.sql import functions as F
 from gleanery.llm import common as C
 from gleanery.operators.components import components
 
-#: A set has one part more for each SPARE of the differences allowed: partners then have that many more parts alike.
-SPARE = 4
+#: Hashes that a prefix has at least beyond those that its set may lack, as far as there are any: short texts emit all.
+EXTRA = 32
 #: Documents and bytes of text in a block; a component beyond is split.
-BLOCK_DOCS, BLOCK_BYTES = 2048, 24 << 20
-#: Best-linked documents of a large component that meet all its blocks.
+BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
+#: Best-linked documents of a large component that go to other blocks first.
 PIVOTS = 32
 FANOUT = 8
+#: Blocks in a list of those that hold a hash.
+LISTED = 256
 
 
 # ------------------------------------------------------------------ shingle sets
@@ -68,66 +73,20 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return C.unique_in_rows(*C.shingles(hashes, C.row_counts(rows, len(offsets) - 1), n))
 
 
-def size_classes(size: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The classes of each size as (class, largest size in it): its own, and the next one if a partner may be there.
+def prefixes(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a set's least hashes it emits, and how many of them a linked set emits too at least."""
 
-    Each class is wider than the largest ratio of linked sizes, so a partner is
-    in the set's own class or a neighbouring one; a set that a larger partner in
-    the next class may have is in that class too.
-    """
-    width = max(1.35, 108 / percent)
-    edges = [1]
-    while edges[-1] <= (size.max(initial=1) * 100) // percent + 1:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * width)))
-    edges = np.array([*edges, edges[-1] * 2 + 2, edges[-1] * 4 + 4])
-    own = np.searchsorted(edges, size, "right") - 1
-    far = np.searchsorted(edges, (size * 100) // percent, "right") - 1
-    return [(own, edges[own + 1] - 1), (np.where(far > own, own + 1, -1), edges[own + 2] - 1)]
-
-
-def signatures(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of each set, the set's row, and how many of the same ``slot`` (row * 2, + 1 in the next class) a partner must share."""
-    size = np.diff(offsets)
-    out, rows_out, needs = [], [], []
-    for slot, (cls, largest) in enumerate(size_classes(size, percent)):
-        rows = np.flatnonzero((size > 0) & (cls >= 0))
-        if not len(rows):
-            continue
-        k = (2 * largest[rows] * (100 - percent)) // (100 + percent)
-        parts = np.where(k > 0, k + 2 + k // SPARE, 1)
-        v, _ = C.gather(values, offsets, rows)
-        r = np.repeat(np.arange(len(rows)), size[rows])
-        mixed = C.mix(v)
-        part = ((mixed >> np.uint64(32)) * parts[r].astype(np.uint64)) >> np.uint64(32)
-        part_at = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
-        place = part_at[r] + part.astype(np.int64)
-        # the hash of a part: the sum of its members' hashes, which order doesn't change
-        order = np.argsort(place, kind="stable")
-        p = place[order]
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
-        sums = np.zeros(part_at[-1], np.uint64)
-        sums[p[first]] = np.add.reduceat(C.mix(mixed[order] + np.uint64(0xA5A5A5A5)), first)
-        filled = np.zeros(part_at[-1], bool)
-        filled[p[first]] = True
-        owner = np.repeat(np.arange(len(rows)), parts)
-        empties = parts - np.add.reduceat(filled.astype(np.int64), part_at[:-1])
-        need = parts - k  # parts, empty ones included, that a partner has alike
-        emit = filled | (empties >= need)[owner]
-        # of the parts that both emit: who has few empty parts doesn't emit them
-        need = np.where(empties >= need, 1, need - empties)
-        number = np.arange(part_at[-1]) - part_at[owner]
-        key = C.mix(sums + C.mix((cls[rows][owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
-        out.append(key[emit])
-        rows_out.append(rows[owner[emit]] * 2 + slot)
-        needs.append(need[owner[emit]])
-    if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys, rows, need = np.concatenate(out), np.concatenate(rows_out), np.concatenate(needs)
-    order = np.argsort(rows, kind="stable")
-    return keys[order], rows[order], need[order]
-
-
-def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    def extra(a: np.ndarray) -> np.ndarray:
+        least = -(-a * percent // 100)
+        return np.minimum(np.maximum(a - least + 1, EXTRA), np.maximum(least, 1))
+
+    least = -(-size * percent // 100)
+    emits = np.minimum(size, size - least + extra(size))
+    # a set that one more member would take below the threshold has no partner but its equals
+    return np.where(100 * size >= percent * (size + 1), emits, 0), extra(least)
+
+
+def _profile(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in C.slices(batch, "text"):
             values, at = shingle_sets(C.column(part, "text"), n)
@@ -137,20 +96,11 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
                 total = np.concatenate([[np.uint64(0)], np.cumsum(C.mix(values + np.uint64(salt)), dtype=np.uint64)])
                 hashes.append(C.mix((total[at[1:]] - total[at[:-1]]) ^ size.astype(np.uint64)).view(np.int64))
             _, offsets = C.flat(C.column(part, "text"))
-            yield pa.RecordBatch.from_arrays([C.column(part, "doc_id"), pa.array(size), pa.array(np.diff(offsets)), *map(pa.array, hashes)], ["doc_id", "n_shingles", "n_bytes", "h1", "h2"])
-
-
-def _signed(batches: Iterator[pa.RecordBatch], n: int, percent: int, ids: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each signature; with ``ids`` the document, the slot and its need too."""
-    for batch in batches:
-        for part in C.slices(batch, "text"):
-            keys, slot, need = signatures(*shingle_sets(C.column(part, "text"), n), percent)
-            sig = pa.array(keys.view(np.int64))
-            if not ids:
-                yield pa.RecordBatch.from_arrays([sig], ["sig"])
-                continue
-            key = C.column(part, "doc_id").to_numpy()[slot // 2]
-            yield pa.RecordBatch.from_arrays([sig, pa.array(key), pa.array((slot % 2).astype(np.int32)), pa.array(need.astype(np.int32))], ["sig", "doc_id", "slot", "need"])
+            emits, need = prefixes(size, percent)
+            inside = np.arange(len(values)) - np.repeat(at[:-1], size) < np.repeat(emits, size)
+            ends = np.concatenate([[0], np.cumsum(emits)]).astype(np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[inside].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([C.column(part, "doc_id"), C.column(part, "times"), pa.array(size), pa.array(np.diff(offsets)), *map(pa.array, hashes), pa.array(need.astype(np.int32)), sigs], ["doc_id", "times", "n_shingles", "n_bytes", "h1", "h2", "need", "sigs"])
 
 
 # ------------------------------------------------------------------ signature trees
@@ -317,82 +267,130 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     or more per hundred.
     """
     C.importable(docs.sparkSession)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null")
-    profile = C.materialize(texts.mapInArrow(lambda it: _profile(it, n), "doc_id long, n_shingles long, n_bytes long, h1 long, h2 long"), "jaccard-profile")
-    filled = profile.where("n_shingles > 0")
+    all_texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    texts = all_texts.select("doc_id", "text", F.lit(1).cast("long").alias("times"))
+    if not all_texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        # rows of equal id and text are worked on once, however many there are; rows of null ids stay apart
+        once = all_texts.where("doc_id is not null").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+        texts = C.materialize(once.unionAll(texts.where("doc_id is null")), "jaccard-once")
+    profile = C.materialize(texts.mapInArrow(lambda it: _profile(it, n, percent), "doc_id long, times long, n_shingles long, n_bytes long, h1 long, h2 long, need int, sigs array<long>"), "jaccard-profile")
+    filled = profile.where("n_shingles > 0 and doc_id is not null")
     # equal sets: partial aggregation meets copies where they lie
     key = ["n_shingles", "h1", "h2"]
     reps = C.materialize(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    classes = C.materialize(filled.select("doc_id", *key).join(reps, key).select("doc_id", "n_shingles", "rep"), "jaccard-sets")
-
-    # Signatures are made twice rather than kept, and meet what is shared by a shuffle at every size. One stands once in a document, so a count tells whether two share it; copies share all of theirs.
-    bare = texts.mapInArrow(lambda it: _signed(it, n, percent, False), "sig long")
-    shared = C.materialize(bare.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig"), "jaccard-shared")
-    signed = texts.mapInArrow(lambda it: _signed(it, n, percent, True), "sig long, doc_id long, slot int, need int")
-    held = C.materialize(signed.join(shared.hint("merge"), "sig"), "jaccard-held")
-    # who shares fewer than a partner must have alike has no partner; an id on several texts counts for the least demanding one
-    live = C.materialize(held.groupBy("doc_id", "slot").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("doc_id", "slot"), "jaccard-live")
-    held = C.materialize(held.select("sig", "doc_id", "slot").join(live.hint("merge"), ["doc_id", "slot"]).select("sig", "doc_id"), "jaccard-held")
-    least = C.materialize(held.groupBy("sig").agg(F.min("doc_id").alias("least")), "jaccard-least")
-    edges = held.join(least.hint("merge"), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    members = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-    # of each set one document goes on
-    members = members.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-
-    # Blocks of bounded size; a component that fits is one block.
-    weight = profile.select("doc_id", "n_bytes").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
-    members = C.materialize(members.join(weight, "doc_id"), "jaccard-weights")
-    sizes = members.groupBy("comp").agg(_pieces(F.sum("n_bytes")).alias("n_blocks"))
-    members = C.materialize(members.join(sizes, "comp").select("doc_id", "comp", "n_blocks", F.col("doc_id").alias("class"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("n_blocks")).cast("int").alias("part")), "jaccard-members")
-    with_text = C.materialize(texts.join(C.sized(members), "doc_id").select(*members.columns, "text"), "jaccard-texts")
-    found = C.materialize(_grouped(with_text.withColumn("block", F.xxhash64("comp", "part")).withColumn("probe", F.lit(True)), n, percent), "jaccard-local")
-    members = C.materialize(_merged(members, found), "jaccard-classes")
-
-    large = with_text.where("n_blocks > 1").drop("class")
+    classes = filled.select("doc_id", "times", "n_bytes", *key).join(reps, key).select("doc_id", "times", "n_bytes", "n_shingles", "rep")
+    alone = profile.where("n_shingles = 0 or doc_id is null").select("doc_id", "times", "n_bytes", "n_shingles", F.col("doc_id").alias("rep"))
+    classes = C.materialize(classes.unionAll(alone), "jaccard-sets")
+    own = filled.select("doc_id", "need", "sigs").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    own = C.materialize(own, "jaccard-own")
+    C.release(profile, reps)
+
+    kept = _kept(own)
+    C.release(own)
+    least = C.materialize(kept.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("sig", "least"), "jaccard-least")
+    edges = kept.join(least.hint("merge"), "sig").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    found = components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
+    each = kept.groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
+    weight = classes.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
+    placed = C.materialize(found.join(each, "doc_id").join(weight, "doc_id").withColumn("lead", F.array_min("sigs")), "jaccard-weights")
+    members = _parted(placed)
+    C.release(kept, least)
+
+    with_text = C.materialize(texts.select("doc_id", "text").join(C.sized(members), "doc_id").select(*members.columns, "text"), "jaccard-texts")
+    local = C.materialize(_grouped(with_text.withColumn("block", F.xxhash64("comp", "part")).withColumn("probe", F.lit(True)), n, percent), "jaccard-local")
+    members = C.materialize(_merged(members, local), "jaccard-classes")
+    large = members.where("n_blocks > 1")
     if not large.isEmpty():
+        signs = C.materialize(large.select("doc_id", "comp", "part").join(placed.select("doc_id", "sigs"), "doc_id"), "jaccard-signs")
         # The documents with most links of each block, PIVOTS for a component.
-        degrees = found.select("doc_id", "degree").join(members.where("n_blocks > 1"), "doc_id")
+        degrees = local.select("doc_id", "degree").join(large, "doc_id")
         in_part = Window.partitionBy("comp", "part").orderBy(F.desc("degree"), "doc_id")
         in_comp = Window.partitionBy("comp").orderBy(F.desc("degree"), "doc_id")
-        pivots = degrees.withColumn("r", F.row_number().over(in_part)).where(F.col("r") <= PIVOTS).withColumn("r", F.row_number().over(in_comp)).where(F.col("r") <= PIVOTS)
-        members = C.materialize(_merged(members, _against(large, members, pivots.select("doc_id"), n, percent)), "jaccard-pivoted")
-        # What lies outside the largest class of its component meets everything.
-        counts = members.where("n_blocks > 1").groupBy("comp", "class").agg(F.count("*").alias("n"))
+        pivots = degrees.withColumn("r", F.row_number().over(in_part)).where(F.col("r") <= 1).withColumn("r", F.row_number().over(in_comp)).where(F.col("r") <= PIVOTS)
+        members = C.materialize(_merged(members, _against(with_text, members, signs, pivots.select("doc_id"), n, percent)), "jaccard-pivoted")
+        # What lies outside the largest class of its component meets what it may link to.
+        large = members.where("n_blocks > 1")
+        counts = large.groupBy("comp", "class").agg(F.count("*").alias("n"))
         main = counts.groupBy("comp").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
-        rest = members.where("n_blocks > 1").join(main, "comp").where("class <> main").select("doc_id")
-        members = C.materialize(_merged(members, _against(large, members, rest, n, percent)), "jaccard-classes")
+        rest = large.join(main, "comp").where("class <> main").select("doc_id")
+        members = C.materialize(_merged(members, _against(with_text, members, signs, rest, n, percent)), "jaccard-classes")
+        C.release(signs)
+    C.release(placed, with_text, local)
 
     top = members.select(F.col("doc_id").alias("rep"), F.col("class").alias("component_id"))
     # classes take the smallest id of their representatives, and these the smallest of their sets
-    comp = classes.join(top, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    several = comp.groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least < most")
+    comp = classes.join(top, "rep", "left").select("doc_id", "times", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    several = comp.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least < most")
     if not several.isEmpty():  # an id on several rows connects their components
         pairs = comp.join(several, "doc_id").where("component_id <> least").select(F.col("component_id").alias("a"), F.col("least").alias("b"))
-        comp = comp.join(components(pairs, "a", "b").select(F.col("node").alias("component_id"), F.col("component").alias("up")), "component_id", "left").select("doc_id", "n_shingles", F.coalesce("up", "component_id").alias("component_id"))
-    return comp.unionAll(profile.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _pieces(size: Column) -> Column:
-    """Blocks or chunks that a group of rows of ``size`` bytes makes."""
-    return F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(size / BLOCK_BYTES)).cast("int")
-
-
-def _against(large: DataFrame, members: DataFrame, probes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Each block of the large components with the probe documents of its component.
-
-    Probes are dealt into chunks of a block's size; a chunk meets each block of
-    its component, so a task holds two blocks at most.
+        up = components(pairs, "a", "b").select(F.col("node").alias("component_id"), F.col("component").alias("up"))
+        comp = comp.join(up, "component_id", "left").select("doc_id", "times", "n_shingles", F.coalesce("up", "component_id").alias("component_id"))
+    return comp.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("doc_id", "n_shingles", "component_id")
+
+
+def _kept(own: DataFrame) -> DataFrame:
+    """sig and doc_id: of the hashes in ``own`` (doc_id, need, sigs) that several documents emit, those that each document keeps."""
+    emitted = own.select("doc_id", "need", F.explode("sigs").alias("sig"))
+    # counted before they are joined, and by a shuffle at every size: a hash that very many documents have meets in no task
+    shared = C.materialize(emitted.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-shared")
+    held = C.materialize(emitted.join(shared.hint("merge"), "sig"), "jaccard-held")
+    C.release(shared)
+    each = Window.partitionBy("doc_id")
+    rank = F.row_number().over(each.orderBy("n", "sig"))
+    counted = held.withColumn("rank", rank).withColumn("c", F.count("*").over(each)).withColumn("need", F.min("need").over(each))
+    kept = C.materialize(counted.where("c >= need and rank <= c - need + 1").select("sig", "doc_id"), "jaccard-kept")
+    C.release(held)
+    return kept
+
+
+def _pieces(rows: Column, size: Column) -> Column:
+    """Blocks or chunks that ``rows`` documents of ``size`` bytes make."""
+    return F.greatest(F.ceil(rows / BLOCK_DOCS), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """Documents (doc_id, comp, lead, n_bytes) with the part of their component: one, or for a large one a part for each common lead and bins for the others."""
+    total = lambda of: members.groupBy(*of).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    sizes = total(["comp"]).select("comp", _pieces(F.col("n"), F.col("size")).alias("n_blocks"))
+    leads = total(["comp", "lead"]).select("comp", "lead", _pieces(F.col("n") * 4, F.col("size") * 4).alias("quarters"))
+    df = members.join(sizes, "comp").join(leads, ["comp", "lead"])
+    bin_ = F.pmod(F.xxhash64("lead", F.lit(3)), F.col("n_blocks") * 2)
+    piece = F.xxhash64("lead", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("quarters") / 4)))
+    part = F.when(F.col("n_blocks") == 1, 0).when(F.col("quarters") == 1, bin_).otherwise(piece)
+    return C.materialize(df.select("doc_id", "comp", "n_blocks", F.col("doc_id").alias("class"), part.cast("long").alias("part")), "jaccard-members")
+
+
+def _against(texts: DataFrame, members: DataFrame, signs: DataFrame, probes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The probe documents with the other blocks that they may have a link in.
+
+    These are the blocks in which a document of another class kept a hash that
+    the probe kept. A block's probes are dealt into chunks of a block's size, so
+    a task holds two blocks at most.
     """
-    now = large.join(members.select("doc_id", "class"), "doc_id")
-    chosen = now.join(probes, "doc_id", "left_semi")
-    chunks = chosen.groupBy("comp").agg(_pieces(F.sum(F.octet_length("text"))).alias("n_chunks"))
+    now = C.materialize(signs.join(members.select("doc_id", "class"), "doc_id"), "jaccard-now")
+    span = (F.min("class").alias("low"), F.max("class").alias("high"))
+    spread = C.materialize(now.select("comp", "part", "class", F.explode("sigs").alias("sig")).groupBy("sig", "comp", "part").agg(*span), "jaccard-there")
+    # a hash that one class alone kept says nothing; the blocks of the others lie in lists of some LISTED each
+    mixed = spread.groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("low < high").select("sig", "n")
+    piece = F.pmod(F.xxhash64("part"), F.ceil(F.col("n") / LISTED)).alias("piece")
+    there = spread.join(mixed, "sig").groupBy("sig", piece).agg(F.collect_list(F.struct(F.col("part").alias("to"), "low", "high")).alias("at"))
+    there = C.materialize(there, "jaccard-mixed")
+    asked = now.join(probes.distinct(), "doc_id", "left_semi").select("doc_id", "comp", "part", "class", F.explode("sigs").alias("sig"))
+    open_ = F.filter("at", lambda x: (x["to"] != F.col("part")) & ((x["low"] != F.col("class")) | (x["high"] != F.col("class"))))
+    meets = asked.join(there.hint("merge"), "sig").select("doc_id", "comp", "piece", F.transform(open_, lambda x: x["to"]).alias("to"))
+    meets = meets.groupBy("doc_id", "comp", "piece").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
+    meets = meets.select("doc_id", "comp", F.explode("to").alias("part")).distinct()
+    meets = C.materialize(meets, "jaccard-meets")
+    body = texts.select("doc_id", "comp", "part", "text").join(members.select("doc_id", "class"), "doc_id")
+    moved = body.select("doc_id", "text", "class").join(C.sized(meets), "doc_id")
+    chunks = moved.groupBy("comp", "part").agg(_pieces(F.count("*"), F.sum(F.octet_length("text"))).alias("n_chunks"))
+    chunks = C.materialize(chunks, "jaccard-chunks")
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("n_chunks")).cast("int")
     block = F.xxhash64("comp", "part", "chunk").alias("block")
-    probe = chosen.join(chunks, "comp").withColumn("chunk", chunk).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    held = now.join(chunks, "comp").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    # a probe of the block itself comes once, as a probe
-    own = probes.withColumn("_is_probe", F.lit(True))
-    held = held.join(own, "doc_id", "left").where(~(F.coalesce("_is_probe", F.lit(False)) & (chunk == F.col("chunk"))))
+    moved = moved.join(chunks, ["comp", "part"]).withColumn("chunk", chunk)
+    held = body.join(chunks, ["comp", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     cols = ["doc_id", "text", "class", block]
-    rows = probe.select(*cols, F.lit(True).alias("probe")).unionAll(held.select(*cols, F.lit(False).alias("probe")))
-    return C.materialize(_grouped(rows, n, percent), "jaccard-probe")
+    rows = moved.select(*cols, F.lit(True).alias("probe")).unionAll(held.select(*cols, F.lit(False).alias("probe")))
+    out = C.materialize(_grouped(rows, n, percent), "jaccard-probe")
+    C.release(now, spread, there, meets, chunks)
+    return out

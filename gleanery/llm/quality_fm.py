@@ -211,20 +211,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), *_inputs(docs, text_col, meta_cols)).join(F.broadcast(known), "doc_id")
     meta = len(meta_cols)
     rows = texts.mapInArrow(lambda it: _vectors(it, meta, bits), "doc_id long, label int, slots binary, vals binary")
-    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.slots), bytes(r.vals)))
-    seen: dict = {r.doc_id: r for r in reversed(got)}  # an id that stands on several rows counts once
-    got = [seen[k] for k in sorted(seen)]
+    # an id that stands on several rows counts once: the driver gets max_rows rows at most
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("slots", "vals", "label")).alias("r")).select("doc_id", "r.*")
+    got = sorted(once.collect(), key=lambda r: r.doc_id)
     slots = np.frombuffer(b"".join(bytes(r.slots) for r in got), np.int32).astype(np.int64)
     values = np.frombuffer(b"".join(bytes(r.vals) for r in got), np.float32).astype(np.float64)
     offsets = np.concatenate([[0], np.cumsum([len(r.slots) // 4 for r in got])]).astype(np.int64)
     return fit(slots, values, offsets, np.array([r.label for r in got], np.int64), bits, meta, **options)
 
 
-def score(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", meta_cols: tuple[str, ...] = ()) -> DataFrame:
-    """The columns named in ``keep`` and the score of each row, 0 to 1."""
+def score(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", meta_cols: tuple[str, ...] = (), out_col: str = "score") -> DataFrame:
+    """The columns named in ``keep`` and the score of each row, 0 to 1, as ``out_col``."""
     text, kept = f"o_{text_col}", [f"o_{c}" for c in keep]
     cols = docs.select(*(docs[c].alias(f"o_{c}") for c in dict.fromkeys((*keep, text_col))), *_inputs(docs, text_col, meta_cols)[1:])
     held, meta = docs.sparkSession.sparkContext.broadcast(model), len(meta_cols)
     schema = T.StructType([cols.schema[k] for k in kept] + [T.StructField("score", T.DoubleType())])
     out = cols.mapInArrow(lambda it: _scores(it, held, text, kept, meta), schema)
-    return out.select(*(F.col(f"o_{c}").alias(c) for c in keep), "score")
+    return out.select(*(F.col(f"o_{c}").alias(c) for c in keep), F.col("score").alias(out_col))

@@ -130,9 +130,9 @@ def _held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def quality_scores(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], out_col: str = "score") -> DataFrame:
     model = quality_fm.train(all_docs, labels, "quality", ~_held_out(), meta_cols=QUALITY_META)
-    return quality_fm.score(docs, model, keep, meta_cols=QUALITY_META)
+    return quality_fm.score(docs, model, keep, meta_cols=QUALITY_META, out_col=out_col)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def test_pipeline_is_its_stages(spark):
     for r in rows:
         n, size = taken[r.doc_id]
         ids = sp.encode(r.text or "")
-        want += [(r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))] * (int(n / size + 0.5) if size else 0)
+        want += [(r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids)))] * (int(n / size + 0.5) if size else 1)
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(DATA)).collect())
     assert got == sorted(want) and len({x[0] for x in got}) > 50
 
@@ -98,3 +98,20 @@ def test_stages_take_odd_rows(spark):
         assert out.where("doc_id = 5001").count() <= 4  # two rows, each taken twice at most
     assert corpus_pipeline.near_duplicates(spark, odd, str(DATA)).where("doc_id = 5001").count() == 1
     assert all(stage(spark, odd.limit(0), str(DATA)).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_stages_keep_clashing_columns_and_texts_without_words(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(120)
+    blank = spark.createDataFrame([(9001, None, "en", "src0", None), (9002, "", "en", None, 0), (9003, " \n ", None, "src1", 3)], docs.schema)
+    names = ["score", "_id", "_times", "_n", "_copy", "m0", "key", "Times", "copy", "nth", "sigs", "need", "class", "size", "h", "label", "part", "n_shingles", "component_id"]
+    wide = docs.unionAll(blank).withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(DATA))
+        rows = out.collect()
+        assert out.columns == wide.columns and len(rows) > 20
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+        if name != "quality":
+            assert sorted(r.doc_id for r in rows if r.doc_id > 9000) == [9001, 9002, 9003]
+    assert corpus_pipeline.tokens(spark, wide, str(DATA)).count() == 123
