@@ -13,7 +13,9 @@ read again as the next one's docs.
    stays. Rows that repeat one id count as one document. Texts without words
    have no group and stay.
 3. mixture: sources at their target weights. A document stands in the result as
-   often as the mix takes it, to the nearest whole number (0, 1 or 2 times).
+   often as the mix takes it, to the nearest whole number (0, 1 or 2 times). One
+   without words (a null, empty or blank text) takes nothing from any source's
+   share and stands in it once.
 4. tokens: SentencePiece ids and the text they decode to, as digests.
 """
 
@@ -31,8 +33,9 @@ from gleanery.llm import mixing, ngram_join, queries, sentencepiece_codec
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold."""
     labels = C.table(spark, sf_dir, "labels")
-    scored = queries.quality_scores(docs, docs, labels, tuple(docs.columns))
-    return scored.where(F.col("score") >= queries.QUALITY_THRESHOLD).drop("score")
+    (score,) = C.unused(docs, "score")
+    scored = queries.quality_scores(docs, docs, labels, tuple(docs.columns), score)
+    return scored.where(F.col(score) >= queries.QUALITY_THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,17 +46,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    # of rows that repeat an id the first one, by text and then by the whole row
+    (nth,) = C.unused(docs, "nth")
+    first = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))
+    again = kept.join(twice, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionAll(again)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.taken(docs).where("taken > 0").select("doc_id", F.round(F.try_divide("taken", "size")).cast("int").alias("n")).where("n > 0")
-    times = C.materialize(taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").alias("_times")), "pipeline-mix")
-    out = docs.join(C.sized(times), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each document as often as the mix takes it; one without words, of which there is nothing to take, once."""
+    key, times, copy = C.unused(docs, "key", "times", "copy")
+    n = F.when(F.col("size") == 0, 1).otherwise(F.round(F.try_divide("taken", "size")).cast("int"))
+    taken = mixing.taken(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max(n).alias(times)).where(F.col(times) > 0)
+    taken = C.materialize(taken, "pipeline-mix")
+    out = docs.join(C.sized(taken), F.col("doc_id").eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
