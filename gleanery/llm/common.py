@@ -164,17 +164,30 @@ def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[k], _INVERSE[k]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: two polynomial prefix hashes over random byte values, mixed with the length."""
-    out = mix((ends - starts).astype(np.uint64) + np.uint64(0x51ED270B))
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
+    """Two polynomial hashes of each span, over random byte values."""
     for k in (0, 1):
         power, inverse = _power(k, len(data) + 1)
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[k][data] * power[: len(data)], out=prefix[1:], dtype=np.uint64)
-        out = mix(out ^ ((prefix[ends] - prefix[starts]) * inverse[starts]))
+        yield (prefix[ends] - prefix[starts]) * inverse[starts]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: two polynomial hashes, mixed with the length."""
+    out = mix((ends - starts).astype(np.uint64) + np.uint64(0x51ED270B))
+    for x in _polynomials(data, starts, ends):
+        out = mix(out ^ x)
     return out
 
 
+def span_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each span, as two halves; the first is never 0."""
+    size = mix((ends - starts).astype(np.uint64) + np.uint64(0x51ED270B))
+    a, b = _polynomials(data, starts, ends)
+    return np.maximum(mix(a ^ size), np.uint64(1)), mix(b ^ size)
+
+
 def row_counts(rows: np.ndarray, n: int) -> np.ndarray:
     """n+1 offsets of the items of each row; ``rows`` ascends."""
     return np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).astype(np.int64)
@@ -253,3 +266,80 @@ class WordCache:
         for w in new[len(new) - over :] if over > 0 else ():
             del self.index[w]
         return out
+
+
+class SpanCache:
+    """Ids of spans of text seen so far, by a 128-bit hash of their bytes, without a Python object for each span.
+
+    ``encode_many`` turns a list of byte strings into (flat ids, offsets). The
+    first ``limit`` spans stay in an open-addressed table; later ones, and those
+    of more than ``LONGEST`` bytes, for which the hash isn't made, are encoded for
+    the call at hand. So memory is bounded and frequent spans, which come early,
+    are encoded once.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, encode_many, limit: int = 1_000_000) -> None:
+        self.encode_many, self.limit = encode_many, limit
+        self.bits = max(4, (2 * limit).bit_length())
+        self.keys, self.other = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.uint64)
+        self.place = np.zeros(1 << self.bits, np.int32)
+        self.held = 0
+        self.ids, self.offsets = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+
+    def _probe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each name, or -1."""
+        out = np.full(len(a), -1, np.int64)
+        at = (a >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(a))
+        while len(todo):
+            there = self.keys[at]
+            hit = (there == a[todo]) & (self.other[at] == b[todo])
+            out[todo[hit]] = self.place[at[hit]]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _keep(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> None:
+        at = (a >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(a))
+        while len(todo):
+            _, firsts = np.unique(at[todo], return_index=True)
+            firsts = firsts[self.keys[at[todo[firsts]]] == 0]
+            put = todo[firsts]
+            self.keys[at[put]], self.other[at[put]], self.place[at[put]] = a[put], b[put], place[put]
+            todo = np.delete(todo, firsts)
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each span's ids in ``ids`` and ``offsets``, good until the next call."""
+        short = np.flatnonzero(ends - starts <= self.LONGEST)
+        a, b = span_names(data, starts[short], ends[short])
+        out = np.full(len(starts), -1, np.int64)
+        out[short] = self._probe(a, b)
+        new = np.flatnonzero(out[short] < 0)
+        _, first, name = np.unique(a[new], return_index=True, return_inverse=True)
+        same = b[new] == b[new[first]][name]
+        # spans whose names agree in the first half alone, and long ones, have an entry each
+        single = np.concatenate([short[new[~same]], np.flatnonzero(ends - starts > self.LONGEST)])
+        told = np.concatenate([short[new[first]], single])
+        if not len(told):
+            return out
+        raw = data.tobytes()
+        ids, offsets = self.encode_many([raw[x:y] for x, y in zip(starts[told].tolist(), ends[told].tolist(), strict=True)])
+        n = self.held
+        end = int(self.offsets[n])
+        while len(self.ids) < end + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.offsets) < n + len(told) + 1:
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        self.ids[end : end + len(ids)] = ids
+        self.offsets[n + 1 : n + len(told) + 1] = end + offsets[1:]
+        out[short[new]] = n + name
+        out[single] = n + len(first) + np.arange(len(single))
+        kept = min(len(first), self.limit - n)
+        if kept > 0:
+            self._keep(a[new[first[:kept]]], b[new[first[:kept]]], n + np.arange(kept))
+            self.held += kept
+        return out
