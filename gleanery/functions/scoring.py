@@ -66,6 +66,7 @@ def qa_score(text: Column, truth: Column) -> Column:
 
 # ------------------------------------------------------------------ mathematics
 
+# What a form drops.
 _UNITS = re.compile(r"\\text\{ .*")
 _DROP = ("\n", "\\!", "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$", "\\%")
 

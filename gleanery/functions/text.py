@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions.arrays import array_sum
 
-# Patterns of the cleaning steps, in their order.
+# The patterns of the cleaning steps, in their order, as results must be the same.
 SCRIPT = r"(?is)<[ ]*script.*?/[ ]*script[ ]*>"
 STYLE = r"(?is)<[ ]*style.*?/[ ]*style[ ]*>"
 META = r"(?is)<[ ]*meta.*?>"
@@ -20,6 +20,7 @@ IMG = r"(?is)<[ ]*img\b[^>]*>"
 URL_ATTR = r"""(?is)\s(?:href|src|srcset|action|poster|cite|data-src)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
 BARE_URL = r"""(?i)https?://[^\s<>"')]+"""
 SVG = r"(?is)(<svg[^>]*>)(.*?)(</svg>)"
+# Where a text may be cut, best first.
 BREAKS = ("</section>", "</article>", "</p>", "</div>", "</li>", "\n\n", "\n", ". ", " ")
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 

@@ -17,21 +17,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame, order: list[str], out: str = "pos", n_ranges: int = 64) -> DataFrame:
-    """Each row's place (from 0) in the order of ``order`` (the first of them a number or its order decides the range).
+#: Rows that a range of :func:`with_position` holds, and how few and many ranges there are.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 200_000, 64, 4096
 
-    Ranges of the first key come from approximate percentiles of that column;
-    counts of ranges are summed up, and ranks inside a range added.
+
+def _cuts(values: list | None) -> Column:
+    return F.array(*(F.lit(v) for v in sorted(set(values or [])))) if values else F.array().cast("array<double>")
+
+
+def with_position(df: DataFrame, order: list[str], out: str = "pos", n_ranges: int | None = None) -> DataFrame:
+    """Each row's place (from 0) in the order of ``order`` (the first of them a number).
+
+    Ranges of the first key come from approximate percentiles of that column, as
+    many as the rows ask for; counts of ranges are summed up, and ranks inside a
+    range added. A value of the first key that very many rows share is the lower
+    end of its range; its rows are cut into ranges of the second key, if that is
+    a number. Beyond MOST_RANGES * RANGE_ROWS rows, ranges grow.
     """
-    key = order[0]
-    shares = F.array(*(F.lit(i / n_ranges) for i in range(1, n_ranges)))
-    bounds = df.agg(F.percentile_approx(key, shares, F.lit(10 * n_ranges)).alias("b")).first()["b"] or []
-    edges = F.array(*(F.lit(b) for b in sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
-    d = df.withColumn("_g", F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(key))), F.lit(0)) if bounds else F.lit(0))
-    counts = d.groupBy("_g").agg(F.count("*").alias("_c"))
-    base = counts.select("_g", F.coalesce(F.sum("_c").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy(*order)) - 1)
-    return d.join(F.broadcast(base), "_g").withColumn(out, F.col("_base") + F.col("_r")).drop("_g", "_r", "_base")  # n_ranges rows
+    n = df.count()
+    n_ranges = n_ranges or min(MOST_RANGES, max(LEAST_RANGES, n // RANGE_ROWS))
+    shares = lambda k: F.array(*(F.lit(i / k) for i in range(1, k)))
+    bounds = sorted(set(df.agg(F.percentile_approx(order[0], shares(n_ranges), F.lit(10 * n_ranges)).alias("b")).first()["b"] or []))
+    edges = _cuts(bounds)
+    d = df.withColumn("_g", F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(order[0]))), F.lit(0)) if bounds else F.lit(0)).withColumn("_h", F.lit(0))
+    heavy = [r["_g"] for r in d.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") > 4 * max(RANGE_ROWS, n // n_ranges)).collect() if r["_g"]]  # n_ranges rows at most
+    if heavy and len(order) > 1 and dict(df.dtypes)[order[1]] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        at_edge = F.col("_g").isin(heavy) & (F.col(order[0]) == F.try_element_at(edges, F.col("_g")))
+        inner = d.where(at_edge).groupBy("_g").agg(F.percentile_approx(order[1], shares(LEAST_RANGES), F.lit(10 * LEAST_RANGES)).alias("b")).collect()
+        for r in inner:
+            place = F.coalesce(F.size(F.filter(_cuts(r["b"]), lambda b: b <= F.col(order[1]))), F.lit(0))
+            d = d.withColumn("_h", F.when(F.col("_g") == r["_g"], F.when(at_edge, place).otherwise(LEAST_RANGES + 1)).otherwise(F.col("_h")))
+    counts = d.groupBy("_g", "_h").agg(F.count("*").alias("_c"))
+    base = counts.select("_g", "_h", F.coalesce(F.sum("_c").over(Window.orderBy("_g", "_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_h").orderBy(*order)) - 1)
+    return d.join(F.broadcast(base), ["_g", "_h"]).withColumn(out, F.col("_base") + F.col("_r")).drop("_g", "_h", "_r", "_base")  # a row for each range
 
 
 def shuffled_key(seed: int, *cols: str) -> Column:

@@ -9,12 +9,38 @@ from gleanery.functions import links as L
 from gleanery.functions import scoring as S
 
 
-def test_scan_links():
-    text = "![i](x) [a](/wiki/B_(c)) [b] (no) [c](u\\)v) [d](open"
-    assert [(a, t) for a, t, *_ in L.scan_links(text)] == [("a", "/wiki/B_(c)"), ("c", "u\\)v")]
-    assert L.article_url("/wiki/Caf%C3%A9#x", "https://fr.wikipedia.org/wiki/A") == "https://fr.wikipedia.org/wiki/Caf%C3%A9"
-    assert L.article_url("<https://en.wikipedia.org/wiki/A b>", "") == "https://en.wikipedia.org/wiki/A%20b"
-    assert L.article_url("#top", "") is None and L.article_url("https://example.com/wiki/A", "") is None
+def test_links_of_a_text(spark):
+    texts = {
+        "![i](x) [a](/wiki/B_(c)) [b] (no) [c](u\\)v) [d](open": [("a", "/wiki/B_(c)", 8, 24), ("c", "u\\)v", 34, 43)],
+        "[a]()[b](c)": [("a", "", 0, 5), ("b", "c", 5, 11)],
+        "x [a](b\n(c(d)e)) é [[f](g)": [("a", "b\n(c(d)e)", 2, 16), ("[f", "g", 19, 26)],
+        "[a](b(c) [d](e)": [],
+        "![a](b) [a](b)": [("a", "b", 8, 14)],
+        "": [],
+        "no links ] ( [": [],
+        "[one](" + "y" * 5000 + ")": [("one", "y" * 5000, 0, 5007)],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.links_in(F.col("t")).alias("l")).collect()
+    assert {r.t: [tuple(x) for x in r.l] for r in rows} == texts
+
+
+@pytest.mark.parametrize(
+    ("target", "source", "want"),
+    [
+        ("/wiki/Caf%C3%A9#x", "https://fr.wikipedia.org/wiki/A", "https://fr.wikipedia.org/wiki/Caf%C3%A9"),
+        ("<https://en.wikipedia.org/wiki/A b>", "", "https://en.wikipedia.org/wiki/A%20b"),
+        ("#top", "", None),
+        ("https://example.com/wiki/A", "", None),
+        (' /wiki/A_(b),c:d "title"', None, "https://en.wikipedia.org/wiki/A_(b),c:d"),
+        ("http://de.wikipedia.org/wiki/Ü+x?y=1#z", "", "https://de.wikipedia.org/wiki/%C3%9C%2Bx"),
+        ("/wiki/100%", "", "https://en.wikipedia.org/wiki/100%25"),
+        ("/wiki/a*b~c", "//x.org/", "https://x.org/wiki/a%2Ab~c"),
+        ("/other/A", "", None),
+    ],
+)
+def test_article_addresses(spark, target, source, want):
+    row = spark.createDataFrame([(target, source)], "t string, s string").select(L.article_address(F.col("t"), F.col("s")).alias("u")).first()
+    assert row.u == want
 
 
 def test_page_links_and_scores(spark):
