@@ -53,6 +53,18 @@ def with_position(df: DataFrame, order: list[str], out: str = "pos", n_ranges: i
     return d.join(F.broadcast(base), ["_g", "_h"]).withColumn(out, F.col("_base") + F.col("_r")).drop("_g", "_h", "_r", "_base")  # a row for each range
 
 
+def position_in_group(df: DataFrame, group: list[str], order: list[str], out: str = "pos", n_ranges: int = LEAST_RANGES) -> DataFrame:
+    """Each row's place (from 0) in its group; a group that holds most rows is spread over ranges of the first key of ``order``, a number."""
+    bounds = df.agg(F.percentile_approx(order[0], F.array(*(F.lit(i / n_ranges) for i in range(1, n_ranges))), F.lit(10 * n_ranges)).alias("b")).first()["b"]
+    d = df.withColumn("_g", F.coalesce(F.size(F.filter(_cuts(bounds), lambda b: b <= F.col(order[0]))), F.lit(0)) if bounds else F.lit(0))
+    before = Window.partitionBy(*(f"_k{i}" for i in range(len(group)))).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*(F.col(g).alias(f"_k{i}") for i, g in enumerate(group)), F.col("_g").alias("_at")).agg(F.count("*").alias("_c"))  # n_ranges rows a group
+    base = counts.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_g").orderBy(*order)) - 1)
+    on = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)] + [F.col("_g") == F.col("_at")]
+    return d.join(base, on).withColumn(out, F.col("_base") + F.col("_r")).select(*df.columns, out)
+
+
 def shuffled_key(seed: int, *cols: str) -> Column:
     """A deterministic shuffle's sort key: a digest of seed and id."""
     return F.md5(F.concat_ws(":", F.lit(seed), *cols))

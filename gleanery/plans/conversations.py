@@ -23,19 +23,9 @@ def _convs(spark, d):
 
 @query("cnv01_instruction_rows", """
 SELECT conv_id, turn, 'user:' || h || '|assistant:ok|user:' || text || CASE WHEN turn % 2 = 0 THEN '' ELSE chr(10) || role END AS prompt, 'assistant:' || text AS response
-FROM (SELECT *, left(text, 10) AS h FROM conversations)""")
+FROM (SELECT *, text AS h FROM conversations)""")
 def cnv01(spark, d):
-    return _instructions(spark, d, F.left("text", F.lit(10)))
-
-
-@query("cnv01_instruction_rows_whole")
-def cnv01_whole(spark, d):
-    """As cnv01_instruction_rows, with whole texts in the history."""
-    return _instructions(spark, d, F.col("text"))
-
-
-def _instructions(spark, d, head):
-    past = F.array(F.array(head, F.lit("ok")))
+    past = F.array(F.array(F.col("text"), F.lit("ok")))
     row = V.CONVERTERS["instruction"](F.col("text"), F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("role")), F.col("text"), history=past)
     return table(spark, d, "conversations").select("conv_id", "turn", row.alias("a")).select("conv_id", "turn", _text(F.col("a._prompt")).alias("prompt"), _text(F.col("a._response")).alias("response"))
 
@@ -131,21 +121,11 @@ def prj30(spark, d):
     return a.select("conv_id", V.trainable(F.col("a._prompt"), F.col("a._response")).alias("valid"), V.placeholders(F.col("messages"), "en").alias("n_places"))
 
 
-@query("cnv20_few_shot", "SELECT source, string_agg('Q: ' || left(text, 20) || chr(10) || 'A: ' || lang, chr(10) ORDER BY doc_id) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY source")
+@query("cnv20_few_shot", "SELECT source, string_agg('Q: ' || text || chr(10) || 'A: ' || lang, chr(10) ORDER BY doc_id) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5 GROUP BY source")
 def cnv20(spark, d):
     """The first five documents of each source as its support set (the limit is the feature)."""
-    return _few_shot(spark, d, F.left("text", F.lit(20)))
-
-
-@query("cnv20_few_shot_whole")
-def cnv20_whole(spark, d):
-    """As cnv20_few_shot, over whole texts."""
-    return _few_shot(spark, d, F.col("text"))
-
-
-def _few_shot(spark, d, question):
     w = Window.partitionBy("source").orderBy("doc_id")
-    shots = table(spark, d, "documents").select("source", "doc_id", F.concat(F.lit("Q: "), question, F.lit("\nA: "), "lang").alias("x")).withColumn("r", F.row_number().over(w)).where("r <= 5")
+    shots = table(spark, d, "documents").select("source", "doc_id", F.concat(F.lit("Q: "), "text", F.lit("\nA: "), "lang").alias("x")).withColumn("r", F.row_number().over(w)).where("r <= 5")
     rows = F.array_sort(F.collect_list(F.struct("doc_id", "x")))
     return shots.groupBy("source").agg(F.array_join(F.transform(rows, lambda s: s["x"]), "\n").alias("prompt"))
 

@@ -26,7 +26,7 @@ def _three(spark, d):
     """Documents of three languages as datasets 0, 1, 2, numbered by id."""
     name = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2)
     docs = table(spark, d, "documents").select("doc_id", name.alias("ds")).where("ds is not null")
-    return docs.withColumn("row", F.row_number().over(Window.partitionBy("ds").orderBy("doc_id")) - 1)
+    return D.position_in_group(docs, ["ds"], ["doc_id"], "row")
 
 
 _THREE = "SELECT doc_id, ds, row_number() OVER (PARTITION BY ds ORDER BY doc_id) - 1 AS row FROM (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 END AS ds FROM documents) WHERE ds IS NOT NULL"
@@ -162,20 +162,10 @@ def prj10(spark, d):
     return rows.where((F.col("pos") >= 100) & (F.col("pos") < 5000) & ((F.col("pos") - 100) % 7 == 0))
 
 
-@query("prj19_numbered_rows", "SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id, lang, 'image_' || doc_id || ': 1 ' || chr(10) || ' Question: ' || left(text, 50) AS question FROM documents")
+@query("prj19_numbered_rows", "SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id, lang, 'image_' || doc_id || ': 1 ' || chr(10) || ' Question: ' || text AS question FROM documents")
 def prj19(spark, d):
-    return _numbered(spark, d, F.left("text", F.lit(50)))
-
-
-@query("prj19_numbered_rows_whole")
-def prj19_whole(spark, d):
-    """As prj19_numbered_rows, over whole texts."""
-    return _numbered(spark, d, F.col("text"))
-
-
-def _numbered(spark, d, text):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return table(spark, d, "documents").select((F.row_number().over(w) - 1).cast("long").alias("id"), "lang", F.concat(F.lit("image_"), F.col("doc_id").cast("string"), F.lit(": 1 \n Question: "), text).alias("question"))
+    docs = D.position_in_group(table(spark, d, "documents").select("doc_id", "lang", "text"), ["lang"], ["doc_id"], "id")
+    return docs.select("id", "lang", F.concat(F.lit("image_"), F.col("doc_id").cast("string"), F.lit(": 1 \n Question: "), "text").alias("question"))
 
 
 @query("prj24_date_range", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")

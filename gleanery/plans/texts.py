@@ -94,14 +94,14 @@ def txt23(spark, d):
 
 
 #: A trajectory's turn made of a conversation's row: a thought, and then what its place in the conversation says.
-_TURN_SQL = "'<think>' || left(text, 20) || '</think>' || CASE turn % 4 WHEN 0 THEN '<tool_call>' || left(text, 40) || '</tool_call>' WHEN 1 THEN '<answer> ' || left(text, 30) || '</answer>' WHEN 2 THEN '<response>' || left(text, 30) || '</response> ' ELSE text END"
+_TURN_SQL = "'<think>' || text || '</think>' || CASE turn % 4 WHEN 0 THEN '<tool_call>' || text || '</tool_call>' WHEN 1 THEN '<answer> ' || text || '</answer>' WHEN 2 THEN '<response>' || text || '</response> ' ELSE text END"
 
 
-def _turns(spark, d, whole=False):
-    head = lambda n: F.col("text") if whole else F.left("text", F.lit(n))
+def _turns(spark, d):
     k = F.col("turn") % 4
-    tail = F.when(k == 0, F.concat(F.lit("<tool_call>"), head(40), F.lit("</tool_call>"))).when(k == 1, F.concat(F.lit("<answer> "), head(30), F.lit("</answer>"))).when(k == 2, F.concat(F.lit("<response>"), head(30), F.lit("</response> "))).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("<think>"), head(20), F.lit("</think>"), tail).alias("t"))
+    inside = lambda a, b: F.concat(F.lit(a), F.col("text"), F.lit(b))
+    tail = F.when(k == 0, inside("<tool_call>", "</tool_call>")).when(k == 1, inside("<answer> ", "</answer>")).when(k == 2, inside("<response>", "</response> ")).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(inside("<think>", "</think>"), tail).alias("t"))
 
 
 def _between(tag: str) -> str:
@@ -114,18 +114,8 @@ SELECT conv_id, turn, CASE WHEN {_between('tool_call')} IS NOT NULL THEN 'tool_c
        CASE WHEN regexp_matches(t, '(?s)^<think>.*?</think>\\s*(<tool_call>.*?</tool_call>|<response>.*?</response>|<answer>.*?</answer>)\\s*$') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS format_reward
 FROM (SELECT conv_id, turn, {_TURN_SQL} AS t FROM conversations)""")
 def txt25(spark, d):
-    return _actions(_turns(spark, d))
-
-
-@query("txt25_win19_actions_whole")
-def txt25_whole(spark, d):
-    """As txt25_win19_actions, over whole texts."""
-    return _actions(_turns(spark, d, whole=True))
-
-
-def _actions(turns):
     a = T.action(F.col("t"))
-    return turns.select("conv_id", "turn", a["kind"].alias("kind"), a["content"].alias("content"), T.valid_format(F.col("t")).cast("double").alias("format_reward"))
+    return _turns(spark, d).select("conv_id", "turn", a["kind"].alias("kind"), a["content"].alias("content"), T.valid_format(F.col("t")).cast("double").alias("format_reward"))
 
 
 @query("txt26_final_answer", f"""
@@ -135,12 +125,6 @@ def txt26(spark, d):
     return _turns(spark, d).select("conv_id", "turn", T.final_answer(F.col("t")).alias("answer"))
 
 
-@query("txt26_final_answer_whole")
-def txt26_whole(spark, d):
-    """As txt26_final_answer, over whole texts."""
-    return _turns(spark, d, whole=True).select("conv_id", "turn", T.final_answer(F.col("t")).alias("answer"))
-
-
 @query("txt27_judge_verdict", "SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 1 ELSE 0 END AS acc FROM events")
 def txt27(spark, d):
     raw = F.when(F.col("event_type").isin("click", "purchase"), F.concat(F.lit("reasoning: x\nCorrect: YES "), "props")).when(F.col("event_type") == "view", "correct: no, not yes").otherwise("none")
@@ -148,7 +132,7 @@ def txt27(spark, d):
 
 
 _NORM = r"list_filter(regexp_split_to_array(trim(regexp_replace(lower({x}), '[!\x22#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g')), '\s+'), lambda w: w NOT IN ('a', 'an', 'the', ''))"
-_PAIRS = "SELECT conv_id, turn, left(text, 60) AS p, left(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 60) AS g FROM conversations"
+_PAIRS = "SELECT conv_id, turn, text AS p, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations"
 
 
 @query("txt28_answer_f1", f"""
@@ -160,20 +144,8 @@ def txt28(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return _scores(table(spark, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(60)).alias("p"), F.left(F.lead("text").over(w), F.lit(60)).alias("g")))
-
-
-@query("txt28_answer_f1_whole")
-def txt28_whole(spark, d):
-    """As txt28_answer_f1, over whole texts."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return _scores(table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("p"), F.lead("text").over(w).alias("g")))
-
-
-def _scores(pairs):
-    return pairs.where("g is not null").select("conv_id", "turn", T.exact_match(F.col("p"), F.col("g")).alias("em"), F.round(T.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
+    pairs = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("p"), F.lead("text").over(w).alias("g")).where("g is not null")
+    return pairs.select("conv_id", "turn", T.exact_match(F.col("p"), F.col("g")).alias("em"), F.round(T.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @query("txt35_txt37_fnc01_keys", "SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, sha256(text) AS cache_key, 'text_' || substr(sha256(source || '||' || '' || '||' || doc_id), 1, 16) AS node_id FROM documents")
@@ -198,14 +170,8 @@ def evl03(spark, d):
 @query("evl05_edit_similarity", """
 SELECT page_id, round(greatest(CASE WHEN d1 < 0.5 THEN 1 - d1 ELSE 0 END, CASE WHEN d2 < 0.5 THEN 1 - d2 ELSE 0 END), 6) AS anls
 FROM (SELECT page_id, levenshtein(a, b) / greatest(length(a), length(b)) AS d1, levenshtein(a, c) / greatest(length(a), length(c)) AS d2
-      FROM (SELECT page_id, lower(substr(url, 9, 12)) AS a, lower(substr(url, 11, 10)) AS b, lower(substr(url, 14, 12)) AS c FROM pages))""")
+      FROM (SELECT page_id, lower(url) AS a, lower(regexp_replace(url, '[0-9]', '', 'g')) AS b, lower(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS c FROM pages))""")
 def evl05(spark, d):
-    a, b, c = F.substring("url", 9, 12), F.substring("url", 11, 10), F.substring("url", 14, 12)
-    return table(spark, d, "pages").select("page_id", F.round(T.anls(a, F.array(b, c)), 6).alias("anls"))
-
-
-@query("evl05_edit_similarity_whole")
-def evl05_whole(spark, d):
     """A page's whole address against its address without digits and its whole title."""
     golds = F.array(F.regexp_replace("url", "[0-9]", ""), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
     return table(spark, d, "pages").select("page_id", F.round(T.anls(F.col("url"), golds), 6).alias("anls"))

@@ -39,7 +39,7 @@ def _f1(a, b):
 
 def test_answers_that_differ_late(spark, tmp_path):
     texts = [TAIL + "the end", TAIL + "An end!", TAIL + "end of a different length", "short"]
-    got = _run(spark, tmp_path, "txt28_answer_f1_whole", conversations=([_turn(i, t) for i, t in enumerate(texts)], TURNS))
+    got = _run(spark, tmp_path, "txt28_answer_f1", conversations=([_turn(i, t) for i, t in enumerate(texts)], TURNS))
     assert {r.turn: r.em for r in got} == {0: True, 1: False, 2: False}
     assert {r.turn: r.f1 for r in got} == {i: pytest.approx(_f1(texts[i], texts[i + 1]), abs=1e-6) for i in range(3)}
 
@@ -47,22 +47,22 @@ def test_answers_that_differ_late(spark, tmp_path):
 def test_actions_and_answers_beyond_a_prefix(spark, tmp_path):
     texts = [TAIL + "a", TAIL + "b", TAIL + "c", "y" * 3000 + "z"]
     turns = {"conversations": ([_turn(i, t) for i, t in enumerate(texts)], TURNS)}
-    got = {r.turn: r for r in _run(spark, tmp_path, "txt25_win19_actions_whole", **turns)}
+    got = {r.turn: r for r in _run(spark, tmp_path, "txt25_win19_actions", **turns)}
     assert [got[i].content for i in range(3)] == texts[:3] and [got[i].kind for i in range(4)] == ["tool_call", "final_answer", "final_answer", "reasoning"]
-    answers = {r.turn: r.answer for r in _run(spark, tmp_path, "txt26_final_answer_whole", **turns)}
+    answers = {r.turn: r.answer for r in _run(spark, tmp_path, "txt26_final_answer", **turns)}
     assert answers == {0: f"<think>{texts[0]}</think><tool_call>{texts[0]}</tool_call>"[-2000:], 1: texts[1], 2: texts[2], 3: "y" * 2000}
 
 
 def test_prompts_hold_whole_texts(spark, tmp_path):
     turns = {"conversations": ([_turn(0, TAIL + "q")], TURNS)}
-    assert [r.prompt for r in _run(spark, tmp_path, "cnv01_instruction_rows_whole", **turns)] == [f"user:{TAIL}q|assistant:ok|user:{TAIL}q"]
+    assert [r.prompt for r in _run(spark, tmp_path, "cnv01_instruction_rows", **turns)] == [f"user:{TAIL}q|assistant:ok|user:{TAIL}q"]
     docs = {"documents": ([(1, TAIL + "u", "en", "s"), (2, TAIL + "v", "en", "s")], "doc_id long, text string, lang string, source string")}
-    assert [r.prompt for r in _run(spark, tmp_path, "cnv20_few_shot_whole", **docs)] == [f"Q: {TAIL}u\nA: en\nQ: {TAIL}v\nA: en"]
-    got = {r.id: r.question for r in _run(spark, tmp_path, "prj19_numbered_rows_whole", **docs)}
+    assert [r.prompt for r in _run(spark, tmp_path, "cnv20_few_shot", **docs)] == [f"Q: {TAIL}u\nA: en\nQ: {TAIL}v\nA: en"]
+    got = {r.id: r.question for r in _run(spark, tmp_path, "prj19_numbered_rows", **docs)}
     assert got == {0: f"image_1: 1 \n Question: {TAIL}u", 1: f"image_2: 1 \n Question: {TAIL}v"}
 
 
 def test_whole_addresses_are_compared(spark, tmp_path):
     url = "https://example.org/" + "a" * 40 + "/12"
-    got = _run(spark, tmp_path, "evl05_edit_similarity_whole", pages=([(1, url, "<title>t</title>")], "page_id long, url string, html string"))
+    got = _run(spark, tmp_path, "evl05_edit_similarity", pages=([(1, url, "<title>t</title>")], "page_id long, url string, html string"))
     assert [r.anls for r in got] == [pytest.approx(1 - 2 / len(url), abs=1e-6)]
