@@ -39,18 +39,18 @@ def with_position(df: DataFrame, order: list[str], out: str = "pos", n_ranges: i
     shares = lambda k: F.array(*(F.lit(i / k) for i in range(1, k)))
     bounds = sorted(set(df.agg(F.percentile_approx(order[0], shares(n_ranges), F.lit(10 * n_ranges)).alias("b")).first()["b"] or []))
     edges = _cuts(bounds)
-    d = df.withColumn("_g", F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(order[0]))), F.lit(0)) if bounds else F.lit(0)).withColumn("_h", F.lit(0))
-    heavy = [r["_g"] for r in d.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") > 4 * max(RANGE_ROWS, n // n_ranges)).collect() if r["_g"]]  # n_ranges rows at most
+    d = df.withColumn("_pos_g", F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(order[0]))), F.lit(0)) if bounds else F.lit(0)).withColumn("_pos_h", F.lit(0))
+    heavy = [r["_pos_g"] for r in d.groupBy("_pos_g").agg(F.count("*").alias("n")).where(F.col("n") > 4 * max(RANGE_ROWS, n // n_ranges)).collect() if r["_pos_g"]]  # n_ranges rows at most
     if heavy and len(order) > 1 and dict(df.dtypes)[order[1]] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        at_edge = F.col("_g").isin(heavy) & (F.col(order[0]) == F.try_element_at(edges, F.col("_g")))
-        inner = d.where(at_edge).groupBy("_g").agg(F.percentile_approx(order[1], shares(LEAST_RANGES), F.lit(10 * LEAST_RANGES)).alias("b")).collect()
+        at_edge = F.col("_pos_g").isin(heavy) & (F.col(order[0]) == F.try_element_at(edges, F.col("_pos_g")))
+        inner = d.where(at_edge).groupBy("_pos_g").agg(F.percentile_approx(order[1], shares(LEAST_RANGES), F.lit(10 * LEAST_RANGES)).alias("b")).collect()
         for r in inner:
             place = F.coalesce(F.size(F.filter(_cuts(r["b"]), lambda b: b <= F.col(order[1]))), F.lit(0))
-            d = d.withColumn("_h", F.when(F.col("_g") == r["_g"], F.when(at_edge, place).otherwise(LEAST_RANGES + 1)).otherwise(F.col("_h")))
-    counts = d.groupBy("_g", "_h").agg(F.count("*").alias("_c"))
-    base = counts.select("_g", "_h", F.coalesce(F.sum("_c").over(Window.orderBy("_g", "_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_h").orderBy(*order)) - 1)
-    return d.join(F.broadcast(base), ["_g", "_h"]).withColumn(out, F.col("_base") + F.col("_r")).drop("_g", "_h", "_r", "_base")  # a row for each range
+            d = d.withColumn("_pos_h", F.when(F.col("_pos_g") == r["_pos_g"], F.when(at_edge, place).otherwise(LEAST_RANGES + 1)).otherwise(F.col("_pos_h")))
+    counts = d.groupBy("_pos_g", "_pos_h").agg(F.count("*").alias("_pos_c"))
+    base = counts.select("_pos_g", "_pos_h", F.coalesce(F.sum("_pos_c").over(Window.orderBy("_pos_g", "_pos_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_pos_base"))
+    d = d.withColumn("_pos_r", F.row_number().over(Window.partitionBy("_pos_g", "_pos_h").orderBy(*order)) - 1)
+    return d.join(F.broadcast(base), ["_pos_g", "_pos_h"]).withColumn(out, F.col("_pos_base") + F.col("_pos_r")).drop("_pos_g", "_pos_h", "_pos_r", "_pos_base")  # a row for each range
 
 
 def position_in_group(df: DataFrame, group: list[str], order: list[str], out: str = "pos", n_ranges: int = LEAST_RANGES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanery.plans import conversations, datasets, evaluations, graphs, rewards, stores, texts  # noqa: F401  registers its queries
+from gleanery.plans import batches, conversations, datasets, evaluations, graphs, rewards, stores, texts  # noqa: F401  registers its queries
 from gleanery.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "win01_agg18_joi13_rejected_advantage"
