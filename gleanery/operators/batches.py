@@ -165,7 +165,7 @@ def human_bytes(size: Column) -> Column:
     """Whole bytes below 1024, else two decimals of the largest unit of 1024 that fits."""
     out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(size >= 1024**k, F.concat(F.format_string("%.2f", size / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1024**k, F.concat(F.format_string("%.2f", F.bround(size / float(1024**k), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
