@@ -59,30 +59,30 @@ def fold(events: DataFrame, has_regenerations: bool = True) -> DataFrame:
     ``events`` has conv_id, seq, turn, event, role and text.
     """
     df = events.select("conv_id", "seq", "turn", F.coalesce("event", F.lit("message")).alias("event"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    if has_regenerations:
-        # per turn the last regeneration; a turn's events before one of an earlier turn are void
-        again = df.where("event = 'regenerate'").groupBy("conv_id", "turn").agg(F.max("seq").alias("cut"))
-        lower = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-        again = again.withColumn("cut", F.max("cut").over(lower)).withColumn("next", F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
-        again = again.select(F.col("conv_id").alias("_c"), "cut", F.col("turn").alias("_t"), "next")
-        on = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("turn") > F.col("_t")) & (F.col("turn") <= F.coalesce("next", F.col("turn"))) & (F.col("seq") < F.col("cut"))
-        df = df.join(again, on, "left_anti")
     df = df.withColumn("block", F.floor(F.col("turn") / RANGE))
-    # dealt by range once; the aggregation by turn needs no other exchange
-    df = df.repartition(F.col("conv_id"), F.col("block"))
+    if has_regenerations:
+        # a turn's events before a regeneration of an earlier turn are void: of those in earlier ranges, one number a range says it
+        again = F.max(F.when(F.col("event") == "regenerate", F.col("seq")))
+        earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = df.groupBy("conv_id", "block").agg(again.alias("cut")).select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.max("cut").over(earlier).alias("before"))
+        df = df.join(ranges, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b")), "left").drop("_c", "_b")
+        lower = Window.partitionBy("conv_id", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("cut", F.greatest("before", again.over(lower))).where("cut is null or seq >= cut").drop("before", "cut")
+    else:
+        # dealt by range once; the aggregation by turn needs no other exchange
+        df = df.repartition(F.col("conv_id"), F.col("block"))
     turns = df.groupBy("conv_id", "block", "turn").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "event"))).alias("log"))
-    empty = F.slice(F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text"))), 1, 0)
-
-    def step(acc: Column, e: Column) -> Column:
-        made = F.array(F.struct(e["role"].alias("role"), e["text"].alias("text")))
-        last = F.element_at(acc, -1)
-        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["text"], e["text"]).alias("text"))))
-        return F.when(e["event"].isin("edit", "regenerate"), made).when((e["event"] == "delta") & (F.size(acc) > 0), longer).otherwise(F.concat(acc, made))
-
-    # turns of plain messages, which most logs have alone, skip the fold
-    plain = F.forall("log", lambda e: ~e["event"].isin("delta", "edit", "regenerate"))
-    messages = F.when(plain, F.transform("log", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))).otherwise(F.aggregate("log", empty, step))
-    return turns.select("conv_id", "block", "turn", messages.alias("messages"))
+    # of a turn's events those from its last edit on; each but a delta begins a message, which goes on to the next beginning
+    resets = F.transform("log", lambda e, i: F.when(e["event"].isin("edit", "regenerate"), i + 1).otherwise(1))
+    turns = turns.withColumn("log", F.slice("log", F.array_max(resets), F.size("log")))
+    begins = F.filter(F.transform("log", lambda e, i: F.when((i == 0) | (e["event"] != "delta"), i + 1)), lambda i: i.isNotNull())
+    turns = turns.withColumn("begins", begins)
+
+    def message(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("begins", k + 1), F.size("log") + 1)
+        return F.struct(F.get("log", at - 1)["role"].alias("role"), F.array_join(F.transform(F.slice("log", at, end - at), lambda e: e["text"]), "").alias("text"))
+
+    return turns.select("conv_id", "block", "turn", F.transform("begins", message).alias("messages"))
 
 
 def render(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:

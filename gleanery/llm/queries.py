@@ -14,11 +14,35 @@ from gleanery.llm import chat_format, hamming_topk, licenses, mixing, ngram_join
 PROBE = "\\### Assistant: </turn> ok"
 
 
+def chat_log(rows: DataFrame) -> DataFrame:
+    """A log (conv_id, seq, turn, event, role, text) whose fold is ``rows`` (conv_id, turn, role, text).
+
+    A turn's text comes, by its number, in two pieces; as a draft and its edit;
+    or as a draft that was answered, then regenerated, which drops the answer.
+    Rows that share a turn, or have none, are whole messages, as an edit would
+    replace all of a turn.
+    """
+    shared = rows.groupBy(F.col("conv_id").alias("_c"), F.col("turn").alias("_t")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = C.sized(C.materialize(shared, "chat-shared")).withColumn("_shared", F.lit(True))
+    rows = rows.join(shared, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t")), "left")
+    kind = F.when(F.col("_shared") | F.col("conv_id").isNull() | F.col("turn").isNull(), -1).otherwise(F.pmod("turn", F.lit(3)))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    event = lambda k, name, said, turn=F.col("turn"): F.struct((F.col("turn") * 4 + k).alias("seq"), turn.alias("turn"), F.lit(name).alias("event"), F.col("role").alias("role"), said.alias("text"))
+    draft = F.lit("a draft </turn>")
+    events = (
+        F.when(kind == 0, F.array(event(1, "delta", F.substring(text, half + 1, F.length(text))), event(0, "message", F.left(text, half))))
+        .when(kind == 1, F.array(event(1, "edit", text), event(0, "message", draft)))
+        .when(kind == 2, F.array(event(2, "regenerate", text), event(1, "message", draft, F.col("turn") + 1), event(0, "message", draft)))
+        .otherwise(F.array(event(0, "message", text)))
+    )
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    log = rows.unionAll(probe).withColumn("seq", F.col("turn")).withColumn("event", F.lit("message"))
-    done = chat_format.format_chats(log, has_regenerations=False)
+    done = chat_format.format_chats(chat_log(rows.unionAll(probe)))
     # what follows reads the output alone
     read = done.select("conv_id", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.masked_text(F.col("blocks")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
