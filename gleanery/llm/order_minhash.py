@@ -15,8 +15,8 @@ A fingerprint is the ``m`` sketches as 8 hexadecimal digits each.
 
 Neighbours in id order are found without a global sort in one task: rows are
 dealt by ranges of the id (bounds from the id column alone), sorted in them,
-and each range gets the first row of the next one as its last neighbour. Those
-are one row for each range, as many as there are shuffle partitions.
+and the first row of each range goes to the range before it too, as its last
+neighbour. Ids alone come to the driver, one for each range, and no text does.
 
 Defined results: null and empty texts (and texts of white space alone) have the
 fingerprint of the empty sequence and likeness 1 to each other; texts of fewer
@@ -155,26 +155,21 @@ def _compare(ids: list, texts: list[str], options: dict) -> pa.RecordBatch:
     )
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], heads: dict[int, str], options: dict) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of one or more ranges; ``heads`` has the text that follows each range."""
+def _ranges(batches: Iterator[pa.RecordBatch], options: dict) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of one or more ranges, each ended by the row that follows it."""
     ids: list = []
     texts: list[str] = []
-    now = None
     for batch in batches:
         for part in C.slices(batch, "text"):
-            got = zip(C.column(part, "range").to_pylist(), C.column(part, "doc_id").to_pylist(), C.column(part, "text").to_pylist(), strict=True)
-            for at, key, text in got:
-                if at != now and ids:
-                    yield _compare([*ids, None], [*texts, heads[now]], options)
-                    ids, texts = [], []
-                now = at
+            for tail, key, text in zip(*(C.column(part, c).to_pylist() for c in ("tail", "doc_id", "text")), strict=True):
                 ids.append(key)
                 texts.append(text or "")
+                if tail:
+                    yield _compare(ids, texts, options)
+                    ids, texts = [], []
             if len(ids) > 1:
                 yield _compare(ids, texts, options)
                 ids, texts = ids[-1:], texts[-1:]
-    if ids:
-        yield _compare([*ids, None], [*texts, heads[now]], options)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = M, l: int = L, k: int = K) -> DataFrame:  # noqa: E741
@@ -193,15 +188,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if len(bounds):
         edges = F.array(*(F.lit(int(b)) for b in bounds))
         place = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    # the text that each range begins with: ids first, from their column alone, then the texts of these few
+    # the row that each range begins with ends the range before it (the first one the last): ids alone come to the driver, one for each range
     firsts = base.select("doc_id", place.alias("range")).groupBy("range").agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("null"))
-    firsts = {r["range"]: None if r["null"] else r["first"] for r in firsts.collect()}  # a row for each range
-    ids = sorted(v for v in firsts.values() if v is not None)
-    known = base.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull() if None in firsts.values() else F.col("doc_id").isin(ids))
-    text_of = {r["doc_id"]: r["text"] for r in known.groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    firsts = {r["range"]: None if r["null"] else r["first"] for r in firsts.collect()}
     order = sorted(firsts)
-    heads = {r: text_of[firsts[order[(i + 1) % len(order)]]] for i, r in enumerate(order)}
+    before = {firsts[r]: order[i - 1] for i, r in enumerate(order)}
+    named = [F.lit(int(x)) for k, v in before.items() if k is not None for x in (k, v)]
+    goes = F.try_element_at(F.create_map(*named), F.col("doc_id")) if named else F.lit(None).cast("int")
+    if None in before:
+        goes = F.when(F.col("doc_id").isNull(), before[None]).otherwise(goes)
+    rows = base.select("doc_id", "text", place.cast("int").alias("range"), F.lit(False).alias("tail"))
+    tails = base.select("doc_id", "text", goes.cast("int").alias("range")).where("range is not null").groupBy("doc_id", "range").agg(F.min("text").alias("text"))
+    rows = rows.unionByName(tails.withColumn("tail", F.lit(True)))
     options = {"m": m, "l": l, "k": k}
-    dealt = base.select("doc_id", "text", place.cast("int").alias("range")).repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "doc_id", "text")
+    dealt = rows.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "tail", "doc_id", "text").select("tail", "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(lambda it: _ranges(it, heads, options), schema)
+    return dealt.mapInArrow(lambda it: _ranges(it, options), schema)
