@@ -10,7 +10,8 @@ the evaluation gives the identifiers and how open the whole is: AND takes the
 least, OR the greatest, WITH that of its licence. Malformed expressions give
 the identifiers that stand in them, with openness 0.
 
-Labels are those of all phrases and expressions. The score is how free a reader
+Labels are those of all phrases and expressions; identifiers of no known family,
+and words that stand for one, have the label ``other``. The score is how free a reader
 is to reuse the text: the least openness of all findings (an expression counts
 as one), 0 with "all rights reserved"; 0.5 without any finding.
 
@@ -56,7 +57,19 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 #: How free a licence leaves its reader; unknown identifiers count as UNKNOWN.
-OPEN = {"public-domain": 1.0, "cc0": 1.0, "unlicense": 1.0, "mit": 0.9, "bsd": 0.9, "isc": 0.9, "bsl": 0.9, "apache": 0.9, "cc-by": 0.8, "cc": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.5, "agpl": 0.4, "cc-by-nd": 0.3, "cc-by-nc": 0.3, "proprietary": 0.0, "reserved": 0.0}
+_BY_OPENNESS = {
+    1.0: "public-domain cc0 unlicense 0bsd wtfpl mit-0",
+    0.9: "mit bsd isc bsl apache afl artistic blueoak bzip2 curl ecl ftl hpnd icu ijg intel libpng libtiff mulanpsl ms-pl ncsa naist openssl php postgresql psf python ruby tcl unicode upl vim w3c x11 zlib zpl",
+    0.8: "cc-by odc-by ofl",
+    0.6: "cc mpl epl lgpl cc-by-sa apsl cddl cecill cpl eupl gfdl ipl lppl ms-rl nposl odbl osl qpl spl",
+    0.5: "gpl",
+    0.4: "agpl sspl rpl",
+    0.3: "cc-by-nd cc-by-nc busl elastic polyform",
+    0.0: "proprietary reserved",
+}
+OPEN = {name: value for value, names in _BY_OPENNESS.items() for name in names.split()}
+#: The label of identifiers that belong to no family above.
+OTHER = "other"
 UNKNOWN, NONE_FOUND = 0.2, 0.5
 _PREFIXES = sorted(OPEN, key=len, reverse=True)
 
@@ -68,9 +81,9 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 
 
 def family(identifier: str) -> str:
-    """The label of a licence identifier: that of the longest known family it begins with, or itself in lower case."""
+    """The label of a licence identifier: that of the longest known family it begins with, or OTHER."""
     low = identifier.lower()
-    return next((p for p in _PREFIXES if low == p or low.startswith((p + "-", p + "+"))), low)
+    return next((p for p in _PREFIXES if low == p or low.startswith((p + "-", p + "+"))), OTHER)
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -119,25 +132,17 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     order = postfix(expression)
     if order is None:
         names = {family(t) for t in _TOKEN.findall(expression) if t not in "()" and t.lower() not in _RANK}
-        return {n for n in names if n in OPEN}, 0.0
-    values: list[float] = []
-    labels: set[str] = set()
-    kinds: list[str] = []
+        return names - {OTHER}, 0.0
+    held: list[tuple[set[str], float]] = []
     for token in order:
         if token in _RANK:
-            b, a = values.pop(), values.pop()
-            exception = kinds.pop()
-            kinds.pop()
-            values.append(max(a, b) if token == "or" else a if token == "with" else min(a, b))
-            kinds.append("")
-            if token == "with":
-                labels.discard(exception)
+            (b, y), (a, x) = held.pop(), held.pop()
+            # an exception is no licence of its own
+            held.append((a, x) if token == "with" else (a | b, max(x, y) if token == "or" else min(x, y)))
         else:
             label = family(token)
-            labels.add(label)
-            values.append(OPEN.get(label, UNKNOWN))
-            kinds.append(label)
-    return labels, values[0]
+            held.append(({label}, OPEN.get(label, UNKNOWN)))
+    return held[0]
 
 
 @lru_cache(maxsize=1)
