@@ -48,7 +48,7 @@ from gleanery.llm import common as C
 BLOCK = 1 << 16
 CHUNK = 1 << 16
 #: Values that the first job looks up for each query, and pairs of a query and a value that are worked on at once.
-FIRST_JOB, PAIRS = 64, 1 << 19
+FIRST_JOB, PAIRS = 1024, 1 << 19
 #: Codes are lists of 32-bit words held in longs.
 WORD = 32
 
