@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements of a run, whose sums are added up one by one.
+RUN = 128
+
+
+def let(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(x)``; ``x`` is evaluated once and stands in the plan once, however often ``fn`` uses it."""
+    return F.transform(F.array(x), fn)[0]
+
+
+def running_sum(x: Column) -> Column:
+    """Sums (longs) of an array's whole numbers up to and with each element, over the sums of the runs before it."""
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda t, v: t + v)
+
+    def sums(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / RUN).cast("int")), lambda r: total(F.slice(xs, r * RUN + 1, RUN)))
+        heads = let(runs, lambda rs: F.transform(rs, lambda _, r: total(F.slice(rs, F.lit(1), r))))
+        return let(heads, lambda hs: F.transform(xs, lambda _, i: F.get(hs, F.floor(i / RUN).cast("int")) + total(F.slice(xs, i - i % RUN + 1, i % RUN + 1))))
+
+    return let(x, sums)
+
 
 def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)

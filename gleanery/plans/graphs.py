@@ -170,4 +170,4 @@ def txt09(spark, d):
     pages = table(spark, d, "pages").select("page_id", text.alias("md"), F.lit("https://en.wikipedia.org/wiki/Home").alias("url"))
     found = L.page_links(pages, "page_id", "md", "url").where("url is not null")
     s = L.link_score(F.substring_index("url", "/wiki/", -1), F.col("anchor"), F.col("context"), F.col("rank"))
-    return found.select(F.col("id").alias("page_id"), "rank", "url", s["score"].alias("score"), F.array_join(s["reasons"], ",").alias("reasons"))
+    return found.select(F.col("id").alias("page_id"), "rank", "url", s.alias("s")).select("page_id", "rank", "url", F.col("s.score").alias("score"), F.array_join("s.reasons", ",").alias("reasons"))

@@ -1,7 +1,13 @@
-"""The page graph where pages have more links than a page's range of node numbers."""
+"""Pages with more links than a page's range of node numbers, and pages whose links stand in long texts."""
 
 from __future__ import annotations
 
+import itertools
+import threading
+
+from pyspark.sql import functions as F
+
+from gleanery.functions import arrays as A
 from gleanery.plans import catalog, graphs
 
 
@@ -20,3 +26,23 @@ def test_paths_of_wide_pages_are_parted(spark, tmp_path):
     assert [degrees[p * 2048 + r * 2 + 1].indegree for p, r in ((0, 1), (0, 1024), (1, 1), (1, 2), (2, 1))] == [1] * 5
     component = {r.node: r.component for r in catalog.QUERIES["set13_connected_components"](spark, str(tmp_path)).collect()}
     assert len(set(component.values())) == 3 and component[3 * 2048] == component[0] and component[2048] != component[0] != component[4096]
+
+
+def test_scored_links_of_a_long_page(spark, tmp_path):
+    """Text behind the last link, brackets that begin none, and many links: time grows with the page, not with its square."""
+    n = 2000
+    html = "".join(f'<p>born in <a href="/P_{i}">Place {i}</a></p>' for i in range(n)) + "[" * 100_000 + "x" * 100_000
+    spark.createDataFrame([(7, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = []
+    run = threading.Thread(target=lambda: got.extend(catalog.QUERIES["txt09_txt12_scored_links"](spark, str(tmp_path)).collect()), daemon=True)
+    run.start()
+    run.join(60)
+    assert [(r.page_id, r.rank, r.url) for r in sorted(got, key=lambda r: r.rank)] == [(7, i + 1, f"https://en.wikipedia.org/wiki/P_{i}") for i in range(n)]
+    assert {r.rank: round(r.score, 9) for r in got if r.rank in (30, 31, 101)} == {30: 4.6, 31: 4.0, 101: 3.6}
+
+
+def test_running_sums(spark):
+    xs = [i % 7 for i in range(1000)]
+    rows = spark.createDataFrame([([],), ([3],), (xs[:128],), (xs[:129],), (xs,), (None,)], "x array<int>")
+    for x, s in rows.select("x", A.running_sum(F.col("x"))).collect():
+        assert s == (None if x is None else list(itertools.accumulate(x)))
