@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers that groups of one size are resampled to at once.
+CELLS = 1 << 18
+
 
 def pass_rates(results: DataFrame, task: list[Column], reward: str) -> DataFrame:
     """pass@1 (share of rewards above 0) and pass@k (share of tasks with one); tasks are told apart by a digest of ``task``."""
@@ -35,17 +40,40 @@ def expected_best(values: Column, n: int, largest: bool = True) -> Column:
     return F.aggregate(F.transform(x, lambda v, i: v * (F.pow((i + 1) / size, F.lit(n)) - F.pow(i / size, F.lit(n)))), F.lit(0.0), lambda a, v: a + v)
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, n: int, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and deviation of the largest and least of ``n`` draws, over ``draws`` seeded resamples of each group (a task's responses: a bounded group)."""
+def _resampled(x: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Mean and deviation of the largest, then of the least draws; a row of ``x`` is a sorted group, ``most`` and ``least`` are their places. NaN stands last and spoils each draw that holds it."""
+    hi, lo = np.take(x, most, axis=1), np.take(x, least, axis=1)
+    lo[np.isnan(hi)] = np.nan
+    return np.stack([hi.mean(1), hi.std(1), lo.mean(1), lo.std(1)])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].to_numpy(float))
-        picked = x[np.random.Generator(np.random.PCG64(seed)).integers(0, len(x), (draws, n))]
-        hi, lo = picked.max(1), picked.min(1)
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "best_mean": [hi.mean()], "best_std": [hi.std()], "worst_mean": [lo.mean()], "worst_std": [lo.std()]})
+
+def bootstrap(rows: DataFrame, group: str, value: str, n: int, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean and deviation of the largest and least of ``n`` draws, over ``draws`` seeded resamples of each group (a task's responses: a bounded group).
+
+    What is drawn depends on a group's size alone, so that a batch's groups of one size are resampled together.
+    """
+    names = ["best_mean", "best_std", "worst_mean", "worst_std"]
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            lists = batch.column(1)
+            flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            sizes, out = np.diff(starts), np.empty((len(names), len(lists)))
+            for size in np.unique(sizes):
+                if size not in places:
+                    picked = np.random.Generator(np.random.PCG64(seed)).integers(0, size, (draws, n))
+                    places[size] = picked.max(1), picked.min(1)
+                of = np.flatnonzero(sizes == size)
+                step = max(1, CELLS // max(size, draws))
+                for at in range(0, len(of), step):
+                    some = of[at : at + step]
+                    out[:, some] = _resampled(np.sort(flat[starts[some][:, None] + np.arange(size)], axis=1), *places[size])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, from_pandas=True) for c in out)], [group, *names])
 
     kind = dict(rows.dtypes)[group]
-    return rows.select(group, value).groupBy(group).applyInPandas(one, f"{group} {kind}, best_mean double, best_std double, worst_mean double, worst_std double")
+    lists = rows.groupBy(group).agg(F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).alias("v"))
+    return lists.mapInArrow(resample, ", ".join([f"{group} {kind}", *(f"{c} double" for c in names)]))
 
 
 def reduce_by_name(metrics: DataFrame, name: str, value: str) -> DataFrame:
