@@ -144,8 +144,9 @@ def txt28(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
-    pairs = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("p"), F.lead("text").over(w).alias("g")).where("g is not null")
-    return pairs.select("conv_id", "turn", T.exact_match(F.col("p"), F.col("g")).alias("em"), F.round(T.token_f1(F.col("p"), F.col("g")), 6).alias("f1"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", T.normalize_answer(F.col("text")).alias("p"))  # once for both roles
+    pairs = turns.select("conv_id", "turn", "p", F.lead("p").over(w).alias("g")).where("g is not null")
+    return pairs.select("conv_id", "turn", (F.col("p") == F.col("g")).alias("em"), F.round(T.normalized_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
 
 @query("txt35_txt37_fnc01_keys", "SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm, sha256(text) AS cache_key, 'text_' || substr(sha256(source || '||' || '' || '||' || doc_id), 1, 16) AS node_id FROM documents")

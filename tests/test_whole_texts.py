@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import re
 import string
+import threading
 
 import pytest
 
@@ -66,3 +67,14 @@ def test_whole_addresses_are_compared(spark, tmp_path):
     url = "https://example.org/" + "a" * 40 + "/12"
     got = _run(spark, tmp_path, "evl05_edit_similarity", pages=([(1, url, "<title>t</title>")], "page_id long, url string, html string"))
     assert [r.anls for r in got] == [pytest.approx(1 - 2 / len(url), abs=1e-6)]
+
+
+def test_answers_of_many_words(spark, tmp_path):
+    """Two texts of 30,000 different words, one of a word repeated, one null: in 60 seconds, as time grows with the words."""
+    words = [f"w{i}" for i in range(30_000)]
+    texts = [" ".join(words), " ".join(reversed(words)) + " w1 w1", "w1 " * 30_000 + "yes", None, "w1 w11 w1.", "W1 w1 w1 w"]
+    got = []
+    run = threading.Thread(target=lambda: got.extend(_run(spark, tmp_path, "txt28_answer_f1", conversations=([_turn(i, t) for i, t in enumerate(texts)], TURNS))), daemon=True)
+    run.start()
+    run.join(60)
+    assert {r.turn: (r.em, r.f1) for r in got} == {t: (None if texts[t] is None else False, pytest.approx(_f1(texts[t] or "", texts[t + 1]), abs=1e-6)) for t in (0, 1, 3, 4)}
