@@ -269,7 +269,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     C.importable(docs.sparkSession)
     all_texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     texts = all_texts.select("doc_id", "text", F.lit(1).cast("long").alias("times"))
-    if not all_texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    repeated = not all_texts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
         # rows of equal id and text are worked on once, however many there are; rows of null ids stay apart
         once = all_texts.where("doc_id is not null").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
         texts = C.materialize(once.unionAll(texts.where("doc_id is null")), "jaccard-once")
@@ -293,35 +294,36 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     each = kept.groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
     weight = classes.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"))
     placed = C.materialize(found.join(each, "doc_id").join(weight, "doc_id").withColumn("lead", F.array_min("sigs")), "jaccard-weights")
-    members = _parted(placed)
+    n_placed = placed.count()
+    members = _parted(placed, n_placed)
     C.release(kept, least)
 
-    with_text = C.materialize(texts.select("doc_id", "text").join(C.sized(members), "doc_id").select(*members.columns, "text"), "jaccard-texts")
+    with_text = C.materialize(texts.select("doc_id", "text").join(C.sized(members, n_placed), "doc_id").select(*members.columns, "text"), "jaccard-texts")
     local = C.materialize(_grouped(with_text.withColumn("block", F.xxhash64("comp", "part")).withColumn("probe", F.lit(True)), n, percent), "jaccard-local")
     members = C.materialize(_merged(members, local), "jaccard-classes")
     large = members.where("n_blocks > 1")
     if not large.isEmpty():
-        signs = C.materialize(large.select("doc_id", "comp", "part").join(placed.select("doc_id", "sigs"), "doc_id"), "jaccard-signs")
+        signs = C.materialize(placed.select("doc_id", "sigs").join(C.sized(large.select("doc_id", "comp", "part"), n_placed), "doc_id"), "jaccard-signs")
         # The documents with most links of each block, PIVOTS for a component.
-        degrees = local.select("doc_id", "degree").join(large, "doc_id")
+        degrees = local.select("doc_id", "degree").join(C.sized(large, n_placed), "doc_id")
         in_part = Window.partitionBy("comp", "part").orderBy(F.desc("degree"), "doc_id")
         in_comp = Window.partitionBy("comp").orderBy(F.desc("degree"), "doc_id")
         pivots = degrees.withColumn("r", F.row_number().over(in_part)).where(F.col("r") <= 1).withColumn("r", F.row_number().over(in_comp)).where(F.col("r") <= PIVOTS)
-        members = C.materialize(_merged(members, _against(with_text, members, signs, pivots.select("doc_id"), n, percent)), "jaccard-pivoted")
+        members = C.materialize(_merged(members, _against(with_text, members, n_placed, signs, pivots.select("doc_id"), n, percent)), "jaccard-pivoted")
         # What lies outside the largest class of its component meets what it may link to.
         large = members.where("n_blocks > 1")
         counts = large.groupBy("comp", "class").agg(F.count("*").alias("n"))
         main = counts.groupBy("comp").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
-        rest = large.join(main, "comp").where("class <> main").select("doc_id")
-        members = C.materialize(_merged(members, _against(with_text, members, signs, rest, n, percent)), "jaccard-classes")
+        rest = large.join(C.sized(main, n_placed), "comp").where("class <> main").select("doc_id")
+        members = C.materialize(_merged(members, _against(with_text, members, n_placed, signs, rest, n, percent)), "jaccard-classes")
         C.release(signs)
     C.release(placed, with_text, local)
 
-    top = members.select(F.col("doc_id").alias("rep"), F.col("class").alias("component_id"))
+    top = C.sized(members.select(F.col("doc_id").alias("rep"), F.col("class").alias("component_id")), n_placed)
     # classes take the smallest id of their representatives, and these the smallest of their sets
     comp = classes.join(top, "rep", "left").select("doc_id", "times", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     several = comp.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.max("component_id").alias("most")).where("least < most")
-    if not several.isEmpty():  # an id on several rows connects their components
+    if repeated and not several.isEmpty():  # an id on several rows connects their components
         pairs = comp.join(several, "doc_id").where("component_id <> least").select(F.col("component_id").alias("a"), F.col("least").alias("b"))
         up = components(pairs, "a", "b").select(F.col("node").alias("component_id"), F.col("component").alias("up"))
         comp = comp.join(up, "component_id", "left").select("doc_id", "times", "n_shingles", F.coalesce("up", "component_id").alias("component_id"))
@@ -348,47 +350,50 @@ def _pieces(rows: Column, size: Column) -> Column:
     return F.greatest(F.ceil(rows / BLOCK_DOCS), F.ceil(size / BLOCK_BYTES)).cast("int")
 
 
-def _parted(members: DataFrame) -> DataFrame:
-    """Documents (doc_id, comp, lead, n_bytes) with the part of their component: one, or for a large one a part for each common lead and bins for the others."""
+def _parted(members: DataFrame, n_members: int) -> DataFrame:
+    """``n_members`` documents (doc_id, comp, lead, n_bytes) with the part of their component: one, or for a large one a part for each common lead and bins for the others."""
     total = lambda of: members.groupBy(*of).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
     sizes = total(["comp"]).select("comp", _pieces(F.col("n"), F.col("size")).alias("n_blocks"))
     leads = total(["comp", "lead"]).select("comp", "lead", _pieces(F.col("n") * 4, F.col("size") * 4).alias("quarters"))
-    df = members.join(sizes, "comp").join(leads, ["comp", "lead"])
+    df = members.join(C.sized(sizes, n_members), "comp").join(C.sized(leads, n_members), ["comp", "lead"])
     bin_ = F.pmod(F.xxhash64("lead", F.lit(3)), F.col("n_blocks") * 2)
     piece = F.xxhash64("lead", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("quarters") / 4)))
     part = F.when(F.col("n_blocks") == 1, 0).when(F.col("quarters") == 1, bin_).otherwise(piece)
     return C.materialize(df.select("doc_id", "comp", "n_blocks", F.col("doc_id").alias("class"), part.cast("long").alias("part")), "jaccard-members")
 
 
-def _against(texts: DataFrame, members: DataFrame, signs: DataFrame, probes: DataFrame, n: int, percent: int) -> DataFrame:
+def _against(texts: DataFrame, members: DataFrame, n_members: int, signs: DataFrame, probes: DataFrame, n: int, percent: int) -> DataFrame:
     """The probe documents with the other blocks that they may have a link in.
 
     These are the blocks in which a document of another class kept a hash that
     the probe kept. A block's probes are dealt into chunks of a block's size, so
-    a task holds two blocks at most.
+    a task holds two blocks at most. ``n_members`` are the rows of ``members``,
+    which bound those of every table of documents or blocks.
     """
-    now = C.materialize(signs.join(members.select("doc_id", "class"), "doc_id"), "jaccard-now")
+    classes = C.sized(members.select("doc_id", "class"), n_members)
+    now = C.materialize(signs.join(classes, "doc_id"), "jaccard-now")
     span = (F.min("class").alias("low"), F.max("class").alias("high"))
     spread = C.materialize(now.select("comp", "part", "class", F.explode("sigs").alias("sig")).groupBy("sig", "comp", "part").agg(*span), "jaccard-there")
     # a hash that one class alone kept says nothing; the blocks of the others lie in lists of some LISTED each
     mixed = spread.groupBy("sig").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).where("low < high").select("sig", "n")
     piece = F.pmod(F.xxhash64("part"), F.ceil(F.col("n") / LISTED)).alias("piece")
-    there = spread.join(mixed, "sig").groupBy("sig", piece).agg(F.collect_list(F.struct(F.col("part").alias("to"), "low", "high")).alias("at"))
+    there = spread.join(C.sized(mixed, spread.count()), "sig").groupBy("sig", piece).agg(F.collect_list(F.struct(F.col("part").alias("to"), "low", "high")).alias("at"))
     there = C.materialize(there, "jaccard-mixed")
-    asked = now.join(probes.distinct(), "doc_id", "left_semi").select("doc_id", "comp", "part", "class", F.explode("sigs").alias("sig"))
+    asked = now.join(C.sized(probes, n_members), "doc_id", "left_semi").select("doc_id", "comp", "part", "class", F.explode("sigs").alias("sig"))
     open_ = F.filter("at", lambda x: (x["to"] != F.col("part")) & ((x["low"] != F.col("class")) | (x["high"] != F.col("class"))))
     meets = asked.join(there.hint("merge"), "sig").select("doc_id", "comp", "piece", F.transform(open_, lambda x: x["to"]).alias("to"))
     meets = meets.groupBy("doc_id", "comp", "piece").agg(F.array_distinct(F.flatten(F.collect_list("to"))).alias("to"))
     meets = meets.select("doc_id", "comp", F.explode("to").alias("part")).distinct()
     meets = C.materialize(meets, "jaccard-meets")
-    body = texts.select("doc_id", "comp", "part", "text").join(members.select("doc_id", "class"), "doc_id")
+    body = texts.select("doc_id", "comp", "part", "text").join(classes, "doc_id")
     moved = body.select("doc_id", "text", "class").join(C.sized(meets), "doc_id")
     chunks = moved.groupBy("comp", "part").agg(_pieces(F.count("*"), F.sum(F.octet_length("text"))).alias("n_chunks"))
     chunks = C.materialize(chunks, "jaccard-chunks")
+    pieces = C.sized(chunks, n_members)
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("n_chunks")).cast("int")
     block = F.xxhash64("comp", "part", "chunk").alias("block")
-    moved = moved.join(chunks, ["comp", "part"]).withColumn("chunk", chunk)
-    held = body.join(chunks, ["comp", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    moved = moved.join(pieces, ["comp", "part"]).withColumn("chunk", chunk)
+    held = body.join(pieces, ["comp", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
     cols = ["doc_id", "text", "class", block]
     rows = moved.select(*cols, F.lit(True).alias("probe")).unionAll(held.select(*cols, F.lit(False).alias("probe")))
     out = C.materialize(_grouped(rows, n, percent), "jaccard-probe")

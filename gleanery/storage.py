@@ -43,6 +43,6 @@ def release(*tables: DataFrame) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, a written table of narrow rows, marked for broadcast if a count finds it small; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, of narrow rows, marked for broadcast if ``rows``, a bound known before, or else a count of the written table finds it small; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
