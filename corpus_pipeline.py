@@ -32,7 +32,7 @@ from gleanery.llm import mixing, ngram_join, queries, sentencepiece_codec
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold."""
-    labels = C.table(spark, sf_dir, "labels")
+    labels = C.table(C.small_batches(spark), sf_dir, "labels")
     (score,) = C.unused(docs, "score")
     scored = queries.quality_scores(docs, docs, labels, tuple(docs.columns), score)
     return scored.where(F.col(score) >= queries.QUALITY_THRESHOLD).select(*docs.columns)
@@ -40,6 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group."""
+    C.small_batches(spark)
     groups = ngram_join.jaccard_groups(docs, n=5, percent=80)
     gone = C.materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "pipeline-copies")
     kept = docs.join(C.sized(gone), "doc_id", "left_anti").select(*docs.columns)
@@ -65,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
+    C.small_batches(spark)
     return sentencepiece_codec.encode_decode_digest(docs)
 
 

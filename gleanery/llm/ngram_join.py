@@ -250,7 +250,7 @@ def _solve(block: pa.Table, n: int, percent: int) -> Iterator[pa.RecordBatch]:
 def _grouped(rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows of doc_id, text, class, probe and block, solved block by block."""
     dealt = rows.repartition("block").sortWithinPartitions("block", F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    return dealt.select("block", "doc_id", "class", "probe", "text").mapInArrow(lambda it: _blocks(it, n, percent), "doc_id long, class long, least long, degree long")
+    return dealt.select("block", "doc_id", "class", "probe", "text").mapInArrow(lambda it: C.trimmed(_blocks(it, n, percent)), "doc_id long, class long, least long, degree long")
 
 
 def _merged(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         # rows of equal id and text are worked on once, however many there are; rows of null ids stay apart
         once = all_texts.where("doc_id is not null").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
         texts = C.materialize(once.unionAll(texts.where("doc_id is null")), "jaccard-once")
-    profile = C.materialize(texts.mapInArrow(lambda it: _profile(it, n, percent), "doc_id long, times long, n_shingles long, n_bytes long, h1 long, h2 long, need int, sigs array<long>"), "jaccard-profile")
+    profile = C.materialize(texts.mapInArrow(lambda it: C.trimmed(_profile(it, n, percent)), "doc_id long, times long, n_shingles long, n_bytes long, h1 long, h2 long, need int, sigs array<long>"), "jaccard-profile")
     filled = profile.where("n_shingles > 0 and doc_id is not null")
     # equal sets: partial aggregation meets copies where they lie
     key = ["n_shingles", "h1", "h2"]

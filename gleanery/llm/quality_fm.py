@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     # max_rows ids of 12 bytes: a proven bound for the broadcast
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), *_inputs(docs, text_col, meta_cols)).join(F.broadcast(known), "doc_id")
     meta = len(meta_cols)
-    rows = texts.mapInArrow(lambda it: _vectors(it, meta, bits), "doc_id long, label int, slots binary, vals binary")
+    rows = texts.mapInArrow(lambda it: C.trimmed(_vectors(it, meta, bits)), "doc_id long, label int, slots binary, vals binary")
     # an id that stands on several rows counts once: the driver gets max_rows rows at most
     once = rows.groupBy("doc_id").agg(F.min(F.struct("slots", "vals", "label")).alias("r")).select("doc_id", "r.*")
     got = sorted(once.collect(), key=lambda r: r.doc_id)
@@ -226,5 +226,5 @@ def score(docs: DataFrame, model: FactorisationMachine, keep: tuple[str, ...] =
     cols = docs.select(*(docs[c].alias(f"o_{c}") for c in dict.fromkeys((*keep, text_col))), *_inputs(docs, text_col, meta_cols)[1:])
     held, meta = docs.sparkSession.sparkContext.broadcast(model), len(meta_cols)
     schema = T.StructType([cols.schema[k] for k in kept] + [T.StructField("score", T.DoubleType())])
-    out = cols.mapInArrow(lambda it: _scores(it, held, text, kept, meta), schema)
+    out = cols.mapInArrow(lambda it: C.trimmed(_scores(it, held, text, kept, meta)), schema)
     return out.select(*(F.col(f"o_{c}").alias(c) for c in keep), F.col("score").alias(out_col))

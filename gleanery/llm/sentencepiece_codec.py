@@ -325,4 +325,4 @@ def encode_decode_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", id
 
 def _apply(docs: DataFrame, model: str, id_col: str, text_col: str, digest: bool, schema: str) -> DataFrame:
     cols = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return cols.mapInArrow(lambda it: _encode(it, model, digest), schema)
+    return cols.mapInArrow(lambda it: C.trimmed(_encode(it, model, digest)), schema)
